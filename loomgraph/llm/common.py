@@ -66,8 +66,11 @@ class BoundedCache(dict):
 
     def __missing__(self, key):
         value = self._compute(key)
-        if len(self) >= self._limit + len(self._fixed):
-            self.clear()
-            self.update(self._fixed)
+        self.make_room(1)
         self[key] = value
         return value
+
+    def make_room(self, n: int) -> None:
+        if len(self) + n > self._limit + len(self._fixed):
+            self.clear()
+            self.update(self._fixed)

@@ -1,9 +1,16 @@
 """The registered queries of the training-data operators."""
 
-from . import decontaminate
+from . import bpe, decontaminate, fingerprint, hilbert, langid, pii, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
+    "op2_personal_data": pii.query,
+    "op3_token_counts": bpe.count_query,
+    "op6_language_id": langid.query,
+    "op7_document_fingerprints": fingerprint.query,
+    "op8_toxicity": toxicity.query,
+    "op9_hilbert_sharding": hilbert.query,
+    "op10_bpe_codec": bpe.encode_query,
 }
 ORACLES = {
     "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
