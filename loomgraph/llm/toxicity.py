@@ -1,7 +1,7 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows.
 
 The lexicon is learned from labelled rows that aren't held out: words that occur in far more toxic than other documents,
-counted once for each group of near copies (documents of one least word hash), so that a copied text can't vote often.
+counted once for each group of near copies (documents of one least hash of four words), so that a copied text can't vote often.
 Its terms form a trie. The Levenshtein automata of all terms, intersected with the trie, are made deterministic lazily:
 a state is the set of (trie node, edits) that a prefix can reach, and most words fall into the empty state within three
 letters. Misspelled terms are found at distance 1 from five letters on and 2 from nine on; variants that the labelled
@@ -159,8 +159,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
     """Words of far more groups of toxic documents than others', by a z-score of the log odds."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    rows = sample.select("toxic", words.alias("ws")).where(F.size("ws") > 0).withColumn("grp", F.array_min(F.transform("ws", lambda w: F.xxhash64(w))))
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 1)
+    rows = sample.select("toxic", words.alias("ws")).where(F.size("ws") > 0)
+    # four words in a row are rarely common to documents that aren't copies
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 4)))
+    rows = rows.withColumn("grp", F.array_min(runs)).withColumn("ws", F.array_distinct(F.filter("ws", lambda w: F.length(w) >= 3)))
     totals = rows.groupBy("toxic").agg(F.countDistinct("grp").alias("n"))
     n = {r["toxic"]: r["n"] for r in totals.collect()}
     if not n.get(0) or not n.get(1):
