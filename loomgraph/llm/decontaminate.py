@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, table
+from .common import arrow_pass, as_bytes, slices, table
 
 WIDTH = 10
 #: Bytes of distinct windows in one automaton; a trie node takes about 40 bytes of memory.
@@ -149,6 +149,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return joined.select("b.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.expr("array()").cast("array<string>")).alias("items"), F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole, in whose text no window occurs. Windows beyond one automaton's bound go through it in
+    turn; each pass keeps what the ones before kept."""
+    windows = _windows(benchmark, item_col, item_text_col, width)
+    total = windows.agg(F.sum(F.length("w") + 2)).first()[0] or 0
+    blocks, at = -(-total // block_bytes) or 1, docs.columns.index(text_col)
+    for block in range(blocks):
+        part = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == block)
+        docs = docs.mapInArrow(_keeper(docs, [(r["w"], []) for r in part.collect()], at), docs.schema)
+    return docs
+
+
+def _keeper(docs: DataFrame, windows: list, at: int):
+    held, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
+
+    def run(batches):
+        automaton = build_automaton(held.value) if name not in _BUILT else _BUILT[name][0]
+        _BUILT.clear()
+        _BUILT[name] = (automaton,)
+        for part in slices(batches):
+            yield part.filter(pa.array([not scan_text(t, automaton)[1] for t in as_bytes(part.column(at))], pa.bool_()))
+
+    return run
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
