@@ -77,7 +77,7 @@ def scan_text(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int
 
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as code-point offsets of the original text, end exclusive."""
-    where = [m.span() for m in _WORD.finditer(text)]
+    where = [m.span() for m in _WORD.finditer(text.lower())]
     points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     return [(int(points[where[a][0]]), int(points[where[b - 1][1]])) for a, b in runs]
 
