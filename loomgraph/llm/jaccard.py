@@ -25,7 +25,9 @@ words is one shingle; rows of one doc_id are rows like others; a null doc_id sta
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, materialise, slices, table
+from .common import BoundedCache, as_bytes, materialise, shared_dir, slices, table
 
-SPARE = 4
 SMALL_LIST = 6
 SALTS = 8
 CACHE_LIMIT = 400_000
@@ -87,6 +88,15 @@ def bands(num: int, den: int, top: int) -> list[int]:
     return out
 
 
+def spare_segments(segments: int, least: float) -> int:
+    """So many that hardly a set of ``least`` shingles or more leaves more segments empty."""
+    spare = 0
+    for _ in range(3):
+        empty = (segments + spare) * exp(-least / (segments + spare))
+        spare = int(empty + 3 * sqrt(empty)) + 2
+    return spare
+
+
 @lru_cache(maxsize=1 << 16)
 def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     """(band, segments, m) of every index that a set of ``n`` shingles takes part in."""
@@ -98,11 +108,8 @@ def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
             continue
         differing = 2 * (low[band + 1] - 1) * (den - num) // (den + num)
         # the least sets only link with equal ones: with one shingle more or less they miss the threshold
-        if differing and n * den >= num * (n + 1):
-            spare = min(SPARE, differing)
-            out.append((band, differing + 1 + spare, spare))
-        elif differing and band == own and (n - 1) * den >= num * n:
-            spare = min(SPARE, differing)
+        if differing and (n * den >= num * (n + 1) or (band == own and (n - 1) * den >= num * n)):
+            spare = min(spare_segments(differing + 1, low[band] * num / den), differing)
             out.append((band, differing + 1 + spare, spare))
     return tuple(out)
 
@@ -283,22 +290,43 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """Sorted hashes as five bytes each, the upper ones: enough to compare two sets, and less to move."""
+    return (shingles >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 5, 8), np.uint8)
+    raw[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return raw.view(">u8").ravel().astype(np.uint64)
+
+
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles as bytes) of the needed sets, read again from the one document ``doc_id`` that stands for each."""
+    """(set_id, shingles as bytes) of the needed sets, read again from the one document ``doc_id`` that stands for each; a
+    few others that the Bloom filter lets through, and a set from a few tasks, do no harm. A table in buckets of set_id."""
     held = docs.sparkSession.sparkContext.broadcast(_bloom(needed.select(F.col("doc_id").alias("id"))).tobytes())
 
     def run(batches):
-        shingler, bits = Shingler(width), np.frombuffer(held.value, np.int64)
+        shingler, bits, seen = Shingler(width), np.frombuffer(held.value, np.int64), set()
         for part in slices(batches, 2048):
-            spots = [part.column(k).to_numpy() % (BLOOM_WORDS * 64) for k in (2, 3)]
+            spots = [part.column(k).to_numpy() % (BLOOM_WORDS * 64) for k in (1, 2)]
             there = np.logical_and(*((bits[s >> 6] >> (s & 63)) & 1 == 1 for s in spots))
             part = part.filter(pa.array(there))
-            made = [shingler(t) for t in as_bytes(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], ["doc_id", "set_id", "shingles"])
+            made = {}
+            for shingles in map(shingler, as_bytes(part.column(0))):
+                if (me := set_id(shingles)) not in seen:
+                    seen.add(me)
+                    made[me] = packed(shingles)
+            if len(seen) > SEEN_LIMIT:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.binary())], ["set_id", "shingles"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))
-    read = keyed.mapInArrow(run, "doc_id bigint, set_id bigint, shingles binary")
-    return read.join(needed, ["doc_id", "set_id"], "left_semi").dropDuplicates(["set_id"]).drop("doc_id")
+    spark = docs.sparkSession
+    keyed = docs.select("text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))
+    read = keyed.mapInArrow(run, "set_id bigint, shingles binary")
+    name, parts = f"loomgraph_sets_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    read.repartition(parts, "set_id").write.bucketBy(parts, "set_id").sortBy("set_id").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -308,7 +336,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for part in slices(batches, 1024):
             nx, ny, both = [], [], []
             for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                a, b = unpacked(a), unpacked(b)
                 nx.append(a.size)
                 ny.append(b.size)
                 a, b = (a, b) if a.size <= b.size else (b, a)
@@ -317,7 +345,10 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, pa.int64()) for v in (nx, ny, both))], ["x", "y", "nx", "ny", "both"])
 
     left, right = (sets.select(F.col("set_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint, nx bigint, ny bigint, both bigint")
+    # the sets on the right are first cut down to those asked for, which the buckets do without moving them
+    right = right.join(pairs.select("y").distinct(), "y", "left_semi")
+    both = pairs.select("x", "y").join(left, "x").join(right, "y")
+    return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint, nx bigint, ny bigint, both bigint").distinct()
 
 
 def _linked(num: int, den: int) -> Column:
