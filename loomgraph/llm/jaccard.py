@@ -11,8 +11,9 @@ Skipping by position. A posting carries how many shingles lie before the segment
 (size, position) form a block, and a block is skipped as a whole when min(before) + segment + min(after) stays below the
 overlap that the threshold asks for.
 
-Skipping by relation. Lists of up to ``SMALL_LIST`` sets propose all their pairs. From a longer one, every set is compared
-with the list's first set only; then components are formed. What is in one component needs no further comparison. For the
+Skipping by relation. Lists of up to ``SMALL_LIST`` sets propose all their pairs. Partners share many lists, so
+each set leaves as many of its longest lists as it can spare. From a list that is still long, every set is compared with
+the hub only, the member of most lists; then components are formed. What is in one component needs no further comparison. For the
 other pairs x, y of a list the answer follows from their computed overlaps with a common set p where possible:
 |x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). Only what is left is compared.
 
@@ -32,7 +33,7 @@ from math import exp, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BoundedCache, as_bytes, materialise, shared_dir, slices, table
@@ -114,14 +115,20 @@ def schemes(n: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
-def postings(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set's segments, and (size, shingles before, shingles inside) packed, -1 for sets too large to pack."""
-    n, keys, places = len(shingles), [], []
+BAND = np.uint64(255)
+
+
+def postings(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set's segments (the band in their low bits), (size, shingles before, shingles inside) packed, -1 for sets
+    too large to pack, and how many lists of the band it shares at least with any partner."""
+    n, keys, places, shared = len(shingles), [], [], []
+    low = bands(num, den, 1 << max(1, n.bit_length() + 2))
     for band, segments, spare in schemes(n, num, den) if n else ():
         for salt in range(SALTS + 1):
             if salt == SALTS:  # all salts left too much empty: one list of all such sets
                 keys.append(mixed(np.array([band << 8 | 0xFF], np.uint64)))
                 places.append(np.array([-1]))
+                shared.append(np.array([1]))
                 break
             values = shingles if salt == 0 else np.sort(mixed(shingles + np.uint64(salt * int(_ODD[0]) % (1 << 64))))
             segment = ((values >> _HALF) * np.uint64(segments)) >> _HALF
@@ -130,13 +137,17 @@ def postings(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.n
             full = np.flatnonzero(ends > starts)
             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(values ^ _ODD[1]))))
             content = sums[ends[full]] - sums[starts[full]]
-            keys.append(mixed(content + mixed(full.astype(np.uint64) + np.uint64(band << 40 | salt << 32))))
+            key = mixed(content + mixed(full.astype(np.uint64) + np.uint64(band << 40 | salt << 32)))
+            keys.append(key & ~BAND | np.uint64(band & 255))
+            # every differing shingle spoils one segment at most; through salts a partner may be met in one list only
+            largest = min(n * den // num, low[band + 1] - 1)
+            shared.append(np.full(full.size, max(1, full.size - (n + largest) * (den - num) // (den + num)) if salt == 0 and segments - full.size <= spare else 1))
             places.append((n << 40 | starts[full] << 20 | (ends - starts)[full]) if n < 1 << 20 else np.full(full.size, -1))
             if segments - full.size <= spare:
                 break
     if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int64)
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(keys).view(np.int64), np.concatenate(places).astype(np.int64), np.concatenate(shared).astype(np.int64)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -147,6 +158,7 @@ def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return (a < 0) | (b < 0) | (common * (den + num) >= num * (na + nb))
 
 
+#: doc_id of a posting: how many lists of the band the set shares with any partner.
 _INDEX = "key bigint, set_id bigint, place bigint, doc_id bigint, is_doc boolean"
 
 
@@ -156,7 +168,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches):
         shingler, seen = Shingler(width), set()
         for part in slices(batches, 512):
-            ids, sets, sizes, keys, owners, places = part.column(0), [], [], [], [], []
+            ids, sets, sizes, keys, owners, places, shared = part.column(0), [], [], [], [], [], []
             for text in as_bytes(part.column(1)):
                 shingles = shingler(text)
                 me = set_id(shingles)
@@ -166,7 +178,8 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     if len(seen) >= SEEN_LIMIT:
                         seen.clear()
                     seen.add(me)
-                    k, p = postings(shingles, num, den)
+                    k, p, c = postings(shingles, num, den)
+                    shared.append(c)
                     keys.append(k)
                     owners.append(np.full(k.size, me))
                     places.append(p)
@@ -176,7 +189,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 [
                     pa.array(np.concatenate([mixed(np.arange(n, dtype=np.uint64) + np.uint64(len(seen) << 20)).view(np.int64), k])),
                     pa.array(np.concatenate([np.array(sets, np.int64), *owners])), pa.array(np.concatenate([np.array(sizes, np.int64), *places])),
-                    pa.concat_arrays([ids, pa.nulls(k.size, pa.int64())]), pa.array(np.arange(n + k.size) < n),
+                    pa.concat_arrays([ids, pa.array(np.concatenate(shared) if shared else np.empty(0, np.int64))]), pa.array(np.arange(n + k.size) < n),
                 ],
                 ["key", "set_id", "place", "doc_id", "is_doc"],
             )
@@ -184,28 +197,25 @@ def _index(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, _INDEX)
 
 
-#: kind 0: a document (a: doc_id, b: set, c: size); 1: a pair of sets; 2: a set (b) in a long list (a), c: its place.
-_FOUND = "kind int, a bigint, b bigint, c bigint"
+#: kind 0: a document (a: doc_id, b: set, c: size); 1: a pair of sets; 2: a set (b) in a long list (a), c: its place, d: the
+#: number of lists of the band that it shares with any partner.
+_FOUND = "kind int, a bigint, b bigint, c bigint, d bigint"
 
 
 def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
-        rest = None  # rows of a list that may go on; or, of a long one, its first row and the mark that it is long
-        going = None
+        rest = None  # rows of a list that may go on
+        going = None  # the key of a long one that may
         out: list[np.ndarray] = []
 
-        def put(kind, a, b, c):
+        def put(kind, a, b, c, d):
             if len(a):
-                out.append(np.stack([np.full(len(a), kind), a, b, c]))
+                out.append(np.stack([np.full(len(a), kind), a, b, c, d]))
 
-        def long_list(key, sets, places, first):
-            head, head_place = first
-            blocks, which = np.unique(places, return_inverse=True)
-            near = may_link(blocks, np.full(blocks.size, head_place), num, den)[which] & (sets != head)
-            put(1, sets[near], np.full(near.sum(), head), np.zeros(near.sum(), np.int64))
-            put(2, np.full(len(sets), key), sets, places)
+        def long_list(key, sets, places, shared):
+            put(2, np.full(len(sets), key), sets, places, shared)
 
-        def closed(key, sets, places):
+        def closed(key, sets, places, shared):
             """Rows of whole lists, each sorted by set."""
             if not len(key):
                 return
@@ -218,10 +228,10 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 at = at + np.arange(at.size) - np.repeat(np.cumsum(size[lists] - gap) - (size[lists] - gap), size[lists] - gap)
                 at = at[may_link(places[at], places[at + gap], num, den)]
-                put(1, sets[at + gap], sets[at], np.zeros(at.size, np.int64))
+                put(1, sets[at + gap], sets[at], *np.zeros((2, at.size), np.int64))
             for k in np.flatnonzero(size > SMALL_LIST):
                 s = slice(start[k], start[k] + size[k])
-                long_list(key[start[k]], sets[s], places[s], (sets[start[k]], places[start[k]]))
+                long_list(key[start[k]], sets[s], places[s], shared[s])
 
         def flush():
             if not out:
@@ -231,7 +241,7 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
             pairs = rows[0] == 1
             if pairs.any():  # a pair is told once a batch
                 rows = np.concatenate([rows[:, ~pairs], np.unique(rows[:, pairs], axis=1)], 1)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])], ["kind", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])], ["kind", "a", "b", "c", "d"])
 
         last = None
         for batch in batches:
@@ -239,35 +249,36 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
             key, sets, places = (batch.column(k).to_numpy() for k in range(3))
             if doc.any():
                 ids = batch.column(3).filter(batch.column(4))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sets[doc]), pa.array(places[doc])], ["kind", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sets[doc]), pa.array(places[doc]), pa.nulls(len(ids), pa.int64())], ["kind", "a", "b", "c", "d"])
                 key, sets, places = key[~doc], sets[~doc], places[~doc]
+            shared = batch.column(3).to_numpy(zero_copy_only=False)[~doc].astype(np.int64)
             if not len(key):
                 continue
             if rest is not None:
-                key, sets, places = (np.concatenate(x) for x in zip(rest, (key, sets, places), strict=True))
+                key, sets, places, shared = (np.concatenate(x) for x in zip(rest, (key, sets, places, shared), strict=True))
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])))
             new[0] = last is None or rest is not None or (key[0], sets[0]) != last
             last = (key[-1], sets[-1])
-            key, sets, places = key[new], sets[new], places[new]
+            key, sets, places, shared = key[new], sets[new], places[new], shared[new]
             rest = None
             if not len(key):
                 continue
             if going is not None:  # the long list of the batch before goes on
-                n = int(np.searchsorted(key != going[0], True)) if (key != going[0]).any() else len(key)
-                long_list(going[0], sets[:n], places[:n], going[1])
-                key, sets, places = key[n:], sets[n:], places[n:]
+                n = int(np.argmax(key != going)) if (key != going).any() else len(key)
+                long_list(going, sets[:n], places[:n], shared[:n])
+                key, sets, places, shared = key[n:], sets[n:], places[n:], shared[n:]
                 if not len(key):
                     if (b := flush()) is not None:
                         yield b
                     continue
                 going = None
             tail = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
-            closed(key[:tail], sets[:tail], places[:tail])
+            closed(key[:tail], sets[:tail], places[:tail], shared[:tail])
             if len(key) - tail > SMALL_LIST:
-                going = (key[tail], (sets[tail], places[tail]))
-                long_list(key[tail], sets[tail:], places[tail:], going[1])
+                going = key[tail]
+                long_list(going, sets[tail:], places[tail:], shared[tail:])
             else:
-                rest = (key[tail:], sets[tail:], places[tail:])
+                rest = (key[tail:], sets[tail:], places[tail:], shared[tail:])
             if (b := flush()) is not None:
                 yield b
         if rest is not None:
@@ -382,7 +393,11 @@ def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 1
     found = materialise(_lists(_index(docs, width, num, den), num, den))
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").alias("n_shingles"))
     first = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    pairs = materialise(found.where("kind = 1").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    members = materialise(_rare_lists(found))
+    close = found.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    hubs = members.groupBy("list").agg(F.max_by("x", F.struct("lists", F.col("x"))).alias("y"))
+    starred = members.join(hubs, "list").where("x <> y").select("x", "y")
+    pairs = materialise(close.unionByName(starred).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
     if pairs.isEmpty():
         linked = None
     else:
@@ -393,18 +408,29 @@ def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 1
         answers = materialise(_compared(near, sets))
         links = answers.where(_linked(num, den)).select("x", "y")
         roots = components(links)
-        linked = links.unionByName(_rest(found, pairs, near, answers, roots, sets, num, den))
+        linked = links.unionByName(_rest(members, pairs, near, answers, roots, sets, num, den))
         linked = components(linked)
     return _labelled(rows, first, linked)
 
 
-def _rest(found, pairs, near, answers, roots, sets, num, den) -> DataFrame:
+def _rare_lists(found: DataFrame) -> DataFrame:
+    """Long lists' members (list, x, place) with the number of long lists of x. Partners share at least d lists of a band,
+    so they still meet if each set leaves its d - 1 longest lists: what a whole group shares is skipped, and sets that share
+    fewer with anything drop out."""
+    rows = found.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("x"), F.col("c").alias("place"), "d")
+    sized = rows.join(rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "list").withColumn("band", F.col("list").bitwiseAND(F.lit(255)))
+    of_set = Window.partitionBy("x")
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("x", "band").orderBy(F.desc("n"), "list"))).withColumn("lists", F.count(F.lit(1)).over(of_set))
+    return ranked.where("rank >= d").select("list", "x", "place", "lists")
+
+
+def _rest(members, pairs, near, answers, roots, sets, num, den) -> DataFrame:
     """Links between sets that the first round left in different components."""
     root = lambda of: F.coalesce(F.col(f"{of}root"), F.col(of))
     rooted = lambda df, k: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}root")), k, "left")
     apart = rooted(rooted(pairs.join(near, ["x", "y"], "left_anti").select("x", "y"), "x"), "y").where(root("x") != root("y")).select("x", "y")
     # of long lists, those with several components
-    members = rooted(found.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("x"), F.col("c").alias("place")), "x").withColumn("root", root("x")).drop("xroot")
+    members = rooted(members.select("list", "x", "place"), "x").withColumn("root", root("x")).drop("xroot")
     mixed_lists = members.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("list")
     known = answers.select("x", F.col("y").alias("p"), F.col("nx").alias("n"), "both")
     open_ = materialise(members.join(mixed_lists, "list", "left_semi").join(known, "x", "left").distinct())
