@@ -24,6 +24,7 @@ import unicodedata
 import uuid
 from collections import defaultdict
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -265,13 +266,12 @@ class Codec:
 
     def _filled(self, known: BoundedCache, cut: list, value):
         """Look-ups for all pre-tokens of ``cut``; ``known`` gets those it lacks."""
-        new = set()
-        for pieces in cut:
-            for _, words in pieces:
-                new |= set(words).difference(known)
-        known.make_room(len(new))
+        lacking = lambda: set().union(*(filterfalse(known.__contains__, words) for pieces in cut for _, words in pieces))
+        new = lacking()
+        if known.make_room(len(new)):
+            new = lacking()
         known.update((w, value(n, ids)) for w, n, ids in self.merge_all(new))
-        return known.__getitem__  # what make_room has dropped is computed again
+        return known.__getitem__
 
     def decode(self, ids: bytes) -> str:
         """The file names no decoder: tokens joined by spaces."""

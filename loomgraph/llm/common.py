@@ -70,7 +70,10 @@ class BoundedCache(dict):
         self[key] = value
         return value
 
-    def make_room(self, n: int) -> None:
-        if len(self) + n > self._limit + len(self._fixed):
+    def make_room(self, n: int) -> bool:
+        """Whether entries had to go for ``n`` more."""
+        full = len(self) + n > self._limit + len(self._fixed)
+        if full:
             self.clear()
             self.update(self._fixed)
+        return full
