@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators."""
 
-from . import bpe, decontaminate, fingerprint, hilbert, jaccard, langid, pii, toxicity
+from . import bpe, chunking, decontaminate, fingerprint, hilbert, jaccard, langid, pii, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
     "op2_personal_data": pii.query,
     "op3_token_counts": bpe.count_query,
+    "op4_substring_dedup": chunking.query,
     "op5_ngram_jaccard_join": jaccard.query,
     "op6_language_id": langid.query,
     "op7_document_fingerprints": fingerprint.query,

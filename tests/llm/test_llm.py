@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from loomgraph.llm import bpe, decontaminate, fingerprint, hilbert, jaccard, langid, pii, toxicity
+from loomgraph.llm import bpe, chunking, decontaminate, fingerprint, hilbert, jaccard, langid, pii, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, spans string, curve int"
 ROWS = [
@@ -224,3 +224,74 @@ def test_shards_are_even_and_gapless(spark):
     assert set(slots) == set(range(24))
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_chunks_resist_shifts_and_join_up():
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdeéß漢") for _ in range(rng.randint(1, 9))) for _ in range(2000))
+    for data in (text.encode(), b"a", "漢".encode() * 900, b"w " * 5000):
+        at, chars = chunking.cuts(data, 512)
+        assert at[0] == 0 and at[-1] == len(data) and (np.diff(at) > 0).all() and np.diff(at).max() <= 515
+        assert [len(data[:k].decode()) for k in at.tolist()] == chars.tolist()
+    own = {b for b in _pieces(text.encode())}
+    moved = {b for b in _pieces(("inserted! " + text[:3000] + "and more " + text[3000:]).encode())}
+    assert len(own - moved) <= 6
+
+
+def _pieces(data):
+    at = chunking.cuts(data)[0].tolist()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _brute_spans(rows, least):
+    where = defaultdict(list)
+    for n, (doc_id, text) in enumerate(rows):
+        for k, piece in enumerate(_pieces((text or "").encode()) if text else []):
+            where[piece].append((-(1 << 63) if doc_id is None else doc_id, n, k))
+    out = []
+    for n, (doc_id, text) in enumerate(rows):
+        run, at, chunks = [], 0, []
+        for k, piece in enumerate(_pieces(text.encode()) if text else []):
+            size = len(piece.decode())
+            places = where[piece]
+            chunks.append((at, at + size, len(piece), len(places), (n, k) != min(places)[1:], k) if len(places) > 1 else None)
+            at += size
+        for c in [*chunks, None]:
+            if c:
+                run.append(c)
+                continue
+            if sum(x[2] for x in run) >= least:
+                piece = []
+                for x in [*run, None]:
+                    if piece and (x is None or x[4] != piece[-1][4]):
+                        out.append((doc_id, piece[0][0], piece[-1][1], sum(p[2] for p in piece), len(piece), max(p[3] for p in piece), piece[0][4]))
+                        piece = []
+                    if x:
+                        piece.append(x)
+            run = []
+    return out
+
+
+def test_repeated_spans(spark, odd, empty):
+    rng = random.Random(9)
+    made = lambda n: " ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    shared, clean = made(60), [(100 + k, made(150)) for k in range(5)]
+    rows = [(None, None), (1, ""), *clean, *((k, f"{made(40)} {shared} {made(30)}") for k in range(2, 12)), (50, clean[0][1]), (51, made(5))]
+    got = chunking.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    found = [tuple(r) for r in got.select("doc_id", "start", "end", "n_bytes", "n_chunks", "n_copies", "dropped").collect()]
+    assert sorted(found) == sorted(_brute_spans(rows, chunking.LEAST))
+    assert {f[0] for f in found} == {*range(2, 12), 50, 100}
+    for doc_id, text in rows[7:17]:
+        assert any(text[s:e] in shared and e - s > 60 for d, s, e, *_ in found if d == doc_id)
+    cut = chunking.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    want = {}
+    for doc_id, text in rows:
+        gone = sorted((s, e) for d, s, e, *_, dropped in found if d == doc_id and dropped and doc_id is not None)
+        for s, e in reversed(gone):
+            text = text[:s] + text[e:]
+        want[doc_id] = text
+    assert {r.doc_id: r.text for r in cut.collect()} == want
+    for docs in (odd, empty):
+        kept = chunking.remove_repeats(docs)
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+        assert {r.doc_id for r in chunking.repeated_spans(docs).collect()} <= {5, None, 3}
