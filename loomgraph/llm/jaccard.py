@@ -15,7 +15,9 @@ Skipping by relation. Lists of up to ``SMALL_LIST`` sets propose all their pairs
 each set leaves as many of its longest lists as it can spare. From a list that is still long, every set is compared with
 the hub only, the member of most lists; then components are formed. What is in one component needs no further comparison. For the
 other pairs x, y of a list the answer follows from their computed overlaps with a common set p where possible:
-|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). Only what is left is compared.
+|x & y| <= min(|x & p|, |y & p|) + min(|x - p|, |y - p|). Of what is left, parity sketches (a bit for each residue of the
+hashes, flipped by each shingle) refute pairs without moving sets: sketches differ in no more bits than sets in shingles.
+Only the rest is compared.
 
 Exact copies share one set and are never expanded. No list, group or component is held by one task: lists are streamed in
 sorted order, and groups only meet through joins that adaptive execution can split.
@@ -43,6 +45,8 @@ SALTS = 8
 CACHE_LIMIT = 400_000
 #: Set ids that a task remembers, so as to index copies once.
 SEEN_LIMIT = 200_000
+#: Edges that a task joins up at a time.
+FOREST_EDGES = 500_000
 #: 64-bit words of the Bloom filter that preselects rows for the second reading; its size is fixed.
 BLOOM_WORDS = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -306,6 +310,20 @@ def packed(shingles: np.ndarray) -> bytes:
     return (shingles >> np.uint64(24)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
+def sketched(shingles: np.ndarray) -> bytes:
+    """A bit for each residue, of 1 to 2 residues a shingle (64 at least), that is the parity of the shingles there."""
+    bits = max(64, 1 << int(shingles.size).bit_length())
+    parity = np.bincount(((shingles >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the number of shingles in which the sets differ; the longer sketch is folded to the other's residues."""
+    a, b = (np.frombuffer(x, np.uint8) for x in ((a, b) if len(a) <= len(b) else (b, a)))
+    folded = np.bitwise_xor.reduce(b.reshape(-1, a.size), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
 def unpacked(data: bytes) -> np.ndarray:
     raw = np.zeros((len(data) // 5, 8), np.uint8)
     raw[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
@@ -313,7 +331,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles as bytes) of the needed sets, read again from the one document ``doc_id`` that stands for each; a
+    """(set_id, shingles as bytes, n, sketch) of the needed sets, read again from the one document ``doc_id`` that stands for each; a
     few others that the Bloom filter lets through, and a set from a few tasks, do no harm. A table in buckets of set_id."""
     held = docs.sparkSession.sparkContext.broadcast(_bloom(needed.select(F.col("doc_id").alias("id"))).tobytes())
 
@@ -327,14 +345,16 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             for shingles in map(shingler, as_bytes(part.column(0))):
                 if (me := set_id(shingles)) not in seen:
                     seen.add(me)
-                    made[me] = packed(shingles)
+                    made[me] = packed(shingles), shingles.size, sketched(shingles)
             if len(seen) > SEEN_LIMIT:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(list(made.values()), pa.binary())], ["set_id", "shingles"])
+            columns = list(zip(*made.values(), strict=True)) or [[], [], []]
+            kinds = (pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), *map(pa.array, columns, kinds)], ["set_id", "shingles", "n", "sketch"])
 
     spark = docs.sparkSession
     keyed = docs.select("text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))
-    read = keyed.mapInArrow(run, "set_id bigint, shingles binary")
+    read = keyed.mapInArrow(run, "set_id bigint, shingles binary, n bigint, sketch binary")
     name, parts = f"loomgraph_sets_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read.repartition(parts, "set_id").write.bucketBy(parts, "set_id").sortBy("set_id").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
     return spark.table(name)
@@ -362,28 +382,73 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint, nx bigint, ny bigint, both bigint").distinct()
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that their sketches don't refute."""
+
+    def run(batches):
+        for part in slices(batches, 4096):
+            most = ((part.column(4).to_numpy() + part.column(5).to_numpy()) * (den - num) // (den + num)).tolist()
+            keep = [sketch_distance(a, b) <= m for a, b, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), most, strict=True)]
+            yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sets.select(F.col("set_id").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "xy")
+    both = pairs.join(left, "x").join(right, "y").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    return both.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x bigint, y bigint")
+
+
 def _linked(num: int, den: int) -> Column:
     return F.col("both") * den >= (F.col("nx") + F.col("ny") - F.col("both")) * num
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (x, y) that connect what ``edges`` do: for ``FOREST_EDGES`` of a task at a time, each node with the least one
+    that they reach."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+        taken = 0
+
+        def top(v):
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = v = parent.setdefault(up, up)
+            return v
+
+        def stars():
+            rows = [(v, top(v)) for v in parent]
+            x, y = np.array(rows, np.int64).reshape(-1, 2).T
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["x", "y"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                parent[max(a, b)] = min(a, b)
+            taken += batch.num_rows
+            if taken >= FOREST_EDGES:
+                yield stars()
+                taken = 0
+        yield stars()
+
+    return edges.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).mapInArrow(run, "x bigint, y bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of ``edges`` (x, y): the least node that links reach. Alternates the large-star and
-    small-star steps; every round is written, and each needs only minima and joins."""
-    now = materialise(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    mark = None
+    """(node, root) of the nodes of ``edges`` (x, y): the least node that links reach. Each task first joins what its own
+    edges connect; then large-star and small-star steps alternate until every node has one edge, to a root. Every round is
+    written, and each needs only minima and joins."""
+    now = materialise(forest(edges).distinct())
     while True:
+        # done if every node is the lower end only, or the upper end of one edge only
+        ends = now.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(now.select(F.col("y").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up + low > 1").isEmpty():
+            return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         # as y > x >= m, each row is already directed downwards
-        large = large.distinct()
+        large = materialise(both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
         low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y"))).distinct()
-        now = materialise(small)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
-            return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
-        mark = tuple(new)
+        small = large.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y")))
+        now = materialise(forest(small).distinct())
 
 
 def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,9 +472,10 @@ def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 1
         near = pairs.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y"))
         answers = materialise(_compared(near, sets))
         links = answers.where(_linked(num, den)).select("x", "y")
-        roots = components(links)
-        linked = links.unionByName(_rest(members, pairs, near, answers, roots, sets, num, den))
-        linked = components(linked)
+        roots = materialise(components(links))
+        rest = materialise(_rest(members, pairs, near, answers, roots, sets, num, den))
+        # what the first links connect is told by their roots
+        linked = components(roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(rest))
     return _labelled(rows, first, linked)
 
 
@@ -443,7 +509,7 @@ def _rest(members, pairs, near, answers, roots, sets, num, den) -> DataFrame:
     by_answer = F.coalesce((F.col("p1") != F.col("p2")) | (through * (den + num) >= (F.col("n1") + F.col("n2")) * num), F.lit(True))
     crossed = a.join(b, "list").where((F.col("root1") < F.col("root2")) & by_place & by_answer).select(F.greatest("x1", "x2").alias("x"), F.least("x1", "x2").alias("y"))
     left = apart.unionByName(crossed).distinct().join(answers.select("x", "y"), ["x", "y"], "left_anti")
-    return _compared(left, sets).where(_linked(num, den)).select("x", "y")
+    return _compared(materialise(_possible(left, sets, num, den)), sets).where(_linked(num, den)).select("x", "y")
 
 
 def _labelled(rows: DataFrame, first: DataFrame, linked: DataFrame | None) -> DataFrame:
