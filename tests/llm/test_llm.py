@@ -295,3 +295,22 @@ def test_repeated_spans(spark, odd, empty):
         kept = chunking.remove_repeats(docs)
         assert kept.columns == docs.columns and kept.count() == docs.count()
         assert {r.doc_id for r in chunking.repeated_spans(docs).collect()} <= {5, None, 3}
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((1, 1, 0), (40, 60, 30), (64, 63, 63), (500, 430, 400), (3000, 2600, 2500), (5, 5, 5)):
+        pool = np.unique(rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(pool[n - common : n + m - common])
+        bound = jaccard.sketch_distance(jaccard.sketched(a), jaccard.sketched(b))
+        assert bound == jaccard.sketch_distance(jaccard.sketched(b), jaccard.sketched(a))
+        assert bound <= np.setxor1d(a, b).size
+        assert n != m or common != n or bound == 0
+
+
+def test_components_of_long_chains_and_stars(spark):
+    chain, star = [(k, k + 1) for k in range(100, 160)], [(900 + k, 7) for k in range(300)]
+    edges = [*chain, *star, (7, 7), (950, 7)]
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "x bigint, y bigint").repartition(7)).collect()}
+    assert got == {**{k: 100 for k in range(100, 161)}, **{900 + k: 7 for k in range(300)}, 7: 7}
