@@ -69,6 +69,12 @@ def common_substring_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(lengths), F.lit(0)).cast("bigint")
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Levenshtein ratio + longest common substring / (length + length), as one quotient of whole numbers."""
+    longest, both = F.greatest(F.length(a), F.length(b), F.lit(1)), F.greatest(F.length(a) + F.length(b), F.lit(1))
+    return ((longest - F.levenshtein(a, b)) * both + common_substring_length(a, b) * longest) / (longest * both)
+
+
 def padded_ids(ids: Column, size: int = 90) -> Column:
     return F.slice(F.concat(ids, F.array_repeat(F.lit(0), size)), 1, size)
 

@@ -18,6 +18,15 @@ def test_offsets_and_similarity(spark):
     assert tuple(got) == (-1, 1, 2, 0.5)
 
 
+def test_literal_candidates_whatever_the_first_letters(spark):
+    entities = spark.createDataFrame([("old anvil",), ("cold bolt",), ("zzzz",), ("qz",)], "name string")
+    triples = spark.createDataFrame([("cold anvil", "r1", "bold anvil"), ("q123456", "r2", "q98765"), ("xxx", "r3", "yyy")], "s string, r string, o string")
+    got = {(x.s, x.r, x.o, x.e, x.sim_o, x.sim_s, x.tier) for x in S.literal_candidates(triples, entities).collect()}
+    near = round(1 - 1 / 10 + 9 / 19, 6)
+    assert {x for x in got if x[3] == "old anvil"} == {("cold anvil", "r1", "bold anvil", "old anvil", near, near, "candidate")}
+    assert {x[1:4] + x[6:] for x in got} == {("r1", "bold anvil", "old anvil", "candidate"), ("r1", "bold anvil", "cold bolt", "candidate"), ("r2", "q98765", "qz", "fallback")}
+
+
 def test_closure_of_chain_and_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7), (9, 9)], "a int, b int")
     assert {tuple(r) for r in G.closure(edges).collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8), (8, 7)}
