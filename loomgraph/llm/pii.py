@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _wider(text: str) -> list[tuple[str, int, int]]:
-    out = [("phone", *m.span()) for m in _NATIONAL.finditer(text)] if "-" in text or "." in text else []
+    out = [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
     if "(at)" in text or "[at]" in text or "(AT)" in text or "[AT]" in text:
         out += [("email", *m.span()) for m in _SPELT.finditer(text)]
     return out + [("secret", *m.span()) for m in _SECRET.finditer(text)]

@@ -91,6 +91,12 @@ def test_added_spans(spark):
     assert pii.redact(docs).where("doc_id = 1").first().text == 'token = "<secret>" and <phone> or <email>'
 
 
+def test_national_numbers_need_no_other_character():
+    for text in ("call 555 123 4567 now", "call (555) 123 4567 now"):
+        for more in ("", ".", " -"):
+            assert [(k, text[a:b]) for k, a, b, own, _ in pii.proposals(text + more) if not own] == [("phone", text[5:-4])], text + more
+
+
 def test_codec_equals_library():
     import public_tokenizers
     from tokenizers import Tokenizer
