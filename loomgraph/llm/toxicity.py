@@ -35,6 +35,8 @@ CACHE_LIMIT = 300_000
 _QUOTES = frozenset("\"“”„«»‹›")
 _REPORTING = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "word", "term", "dit", "sagte", "dijo", "wort", "mot", "palabra"])
 _EDGE = re.compile(r"^\W+|\W+$")
+#: The boundaries that the lexicon is learned with.
+_WORD = re.compile(r"[^\W_]+")
 _BUILT: dict[str, tuple] = {}
 FEATURES = ("hits", "misspelled", "terms", "density", "context", "quoted")
 
@@ -117,8 +119,15 @@ class Scorer:
         self.lexicon, self.harmless = FuzzyLexicon(terms), harmless
         self.known = BoundedCache(self._look, CACHE_LIMIT)
 
-    def _look(self, token: str):
-        word = _EDGE.sub("", token)
+    def _look(self, token: str) -> tuple:
+        """Of the words in a token; if there are none, of the whole, for terms that a mark splits."""
+        words = _WORD.findall(token)
+        found = tuple(hit for w in words if (hit := self._hit(w)) is not None)
+        if found or words == [whole := _EDGE.sub("", token)]:
+            return found
+        return () if (hit := self._hit(whole)) is None else (hit,)
+
+    def _hit(self, word: str) -> tuple[str, int, str] | None:
         found = self.lexicon.find(word)
         return None if found is None or (found[1] and word in self.harmless) else (*found, word)
 
@@ -126,7 +135,7 @@ class Scorer:
         """The tokens, and (position, term, distance, word) of each hit."""
         tokens = (text or "").lower().split()
         get = self.known.__getitem__
-        return tokens, [(i, *hit) for i, hit in enumerate(map(get, tokens)) if hit is not None]
+        return tokens, [(i, *hit) for i, found in enumerate(map(get, tokens)) for hit in found]
 
     def features(self, text: str | None) -> list[float]:
         tokens, hits = self.hits(text)

@@ -211,6 +211,15 @@ def test_fuzzy_lexicon():
         assert lexicon.find(word) == ((min(near)[1], min(near)[0]) if near else None), word
 
 
+def test_terms_inside_tokens():
+    scorer = toxicity.Scorer(["imbécile", "idiot"])
+    for token in ("l'imbécile", "x/idiot", "idiot-y", "(idiot),", "_idiot_", "idi-ot", "idoit,x/imbecile", "idiot"):
+        tokens, hits = scorer.hits(f"so {token} here")
+        assert tokens[1] == token and {h[0] for h in hits} == {1}, token
+    assert [h[1:] for h in scorer.hits("idiot,x/imbecile")[1]] == [("idiot", 0, "idiot"), ("imbécile", 1, "imbecile")]
+    assert scorer.hits("ab-cd it's")[1] == []
+
+
 def test_toxicity_learns(spark):
     random.seed(4)
     words = [f"plain{i}" for i in range(200)]
