@@ -42,8 +42,8 @@ def letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton, a row of ``width`` targets for each state, -1 where there is none."""
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, by state."""
     moves, link, length, last = [{}], [-1], [0], 0
     for c in symbols:
         new = len(moves)
@@ -68,41 +68,74 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return moves
+
+
+def dense(moves: list[dict[int, int]], width: int) -> np.ndarray:
+    """A row of ``width`` targets for each state, -1 where there is none; symbols from ``width`` on are left out."""
     out = np.full((len(moves), width), -1, np.int32)
     for state, row in enumerate(moves):
         for c, to in row.items():
-            out[state, c] = to
+            if c < width:
+                out[state, c] = to
     return out
 
 
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    return dense(automaton_moves(symbols), width)
+
+
 class Parser:
-    """The automata of all languages in one table."""
+    """The automata of all languages: one table for the ALPHABET most common symbols, sorted keys for any others."""
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         common = Counter()
         for text in samples.values():
             common.update(c for c in text.lower() if c.isalpha())
-        alphabet = [c for c, _ in common.most_common(ALPHABET - 2)]
-        self.classes = np.where(letters(), UNKNOWN, GAP).astype(np.uint8)
-        for k, c in enumerate(alphabet, 2):
-            for form in {c, c.upper(), c.title()}:
-                if len(form) == 1:
+        alphabet = {c: k for k, (c, _) in enumerate(common.most_common(), 2)}
+        self.width = max(ALPHABET, len(alphabet) + 2)
+        self.classes = np.where(letters(), UNKNOWN, GAP).astype(np.min_scalar_type(self.width))
+        for c, k in alphabet.items():
+            self.classes[ord(c)] = k
+        for c, k in alphabet.items():  # a form of two letters is the commoner one's
+            for form in {c.upper(), c.title()}:
+                if len(form) == 1 and self.classes[ord(form)] == UNKNOWN:
                     self.classes[ord(form)] = k
-        tables, roots, self.bits = [], [], []
+        for c in set().union(*samples.values()):  # letters that no letter's capital is
+            if self.classes[ord(c)] == UNKNOWN:
+                self.classes[ord(c)] = alphabet.get(c.lower()[0], UNKNOWN)
+        tables, roots, self.bits, keys, targets = [], [], [], [], []
         for language in self.languages:
             symbols, _ = self.symbols([samples[language]])
             symbols = symbols[:SYMBOLS_PER_LANGUAGE]
-            made = suffix_automaton(symbols[symbols != UNKNOWN].tolist(), ALPHABET)
+            moves = automaton_moves(symbols[symbols != UNKNOWN].tolist())
+            made = dense(moves, ALPHABET)
             offset = sum(len(t) for t in tables)
+            rare = [((state + offset) * self.width + c, to + offset) for state, row in enumerate(moves) for c, to in row.items() if c >= ALPHABET]
+            keys += [key for key, _ in rare]
+            targets += [to for _, to in rare]
             tables.append(np.where(made >= 0, made + offset, -1).astype(np.int32))
             roots.append(offset)
             self.bits.append(float(np.log2(max(2, symbols.size))))
         if tables:
             self.table, self.roots = np.concatenate(tables).ravel(), np.array(roots, np.int32)
-            first = self.table.reshape(-1, ALPHABET)[self.roots]
+            order = np.argsort(np.array(keys, np.int64))
+            self.keys, self.targets = np.array(keys, np.int64)[order], np.array(targets, np.int32)[order]
+            first = self._next(np.repeat(self.roots[:, None], self.width, 1), np.arange(self.width))
             self.first = np.where(first >= 0, first, self.roots[:, None]).astype(np.int32)
 
+    def _next(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
+        """Targets [language, text], -1 where there is none."""
+        if not self.keys.size:
+            return self.table[state * ALPHABET + sym]
+        rare = np.flatnonzero(sym >= ALPHABET)
+        now = self.table[state * ALPHABET + np.where(sym < ALPHABET, sym, UNKNOWN)]
+        key = state[:, rare].astype(np.int64) * self.width + sym[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+        now[:, rare] = np.where(self.keys[at] == key, self.targets[at], -1)
+        return now
+
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all code points, runs of gaps as one, and the end of each text in them."""
         flat = self.classes[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -131,7 +164,7 @@ class Parser:
         for at in range(int(length[0]) if n else 0):
             k = int(live[at])
             sym = flat[begin[:k] + at]
-            now = self.table[state[:, :k] * ALPHABET + sym]
+            now = self._next(state[:, :k], sym)
             lang, col = np.nonzero(now < 0)
             if at:
                 count[lang, col] += 1

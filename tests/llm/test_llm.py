@@ -173,6 +173,22 @@ def test_cross_parsing():
     assert phrases == 3
 
 
+def test_letters_beyond_the_common_ones():
+    rng = random.Random(11)
+    samples = {}
+    for language in "abc":
+        words = ["".join(chr(0x4E00 + rng.randrange(1500)) for _ in range(4)) for _ in range(400)]
+        samples[language] = " ".join(rng.choices(words, k=3000)) if language != "c" else "plain latin words of no note " * 400
+    parser = langid.Parser(samples)
+    for language, text in samples.items():
+        name, _, rate, _ = parser.predict([text[7000:7600]])[0]
+        assert name == language and rate < 0.1, (name, rate)
+    made = langid.automaton_moves(parser.symbols([samples["a"]])[0].tolist())
+    root = parser.roots[0]
+    rare = [(s, c, to) for s, row in enumerate(made[:3000]) for c, to in row.items() if c >= langid.ALPHABET]
+    assert rare and all(parser._next(np.array([[s + root]]), np.array([c]))[0, 0] == to + root for s, c, to in rare[:500])
+
+
 def test_digest_and_edits(spark):
     rows = [(i, "".join(random.choice("abcdé ") for _ in range(random.randint(0, 400)))) for i in range(40)]
     got = {r.doc_id: r for r in fingerprint.compare_with_next(spark.createDataFrame(rows[::-1], "doc_id bigint, text string")).collect()}
