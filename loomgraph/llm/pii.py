@@ -115,11 +115,11 @@ def proposals(text: str | None) -> list[tuple[str, int, int, bool, int]]:
         return []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    starts = [a for a, _ in taken]
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
     out = [(k, a, b, True) for k, a, b in base]
     for kind, a, b in _wider(text):
-        i = int(np.searchsorted(starts, b))  # base spans of several kinds may overlap each other, so look at some before
-        if all(y <= a for _, y in taken[max(0, i - 4) : i]):
+        i = int(np.searchsorted(starts, b))
+        if not i or ends[i - 1] <= a:
             out.append((kind, a, b, False))
     return [(k, a, b, own, pattern(_votes(text, k, a, b, own))) for k, a, b, own in out]
 

@@ -97,6 +97,12 @@ def test_national_numbers_need_no_other_character():
             assert [(k, text[a:b]) for k, a, b, own, _ in pii.proposals(text + more) if not own] == [("phone", text[5:-4])], text + more
 
 
+def test_added_spans_overlap_no_earlier_base_span():
+    text = "x@" + ".".join(map(str, range(1, 25))) + "." + "a1b2c3d4" * 4
+    assert {k for k, _, _, own, _ in pii.proposals(text) if own} == {"email", "ip"}
+    assert all(own for *_, own, _ in pii.proposals(text))
+
+
 def test_codec_equals_library():
     import public_tokenizers
     from tokenizers import Tokenizer
