@@ -235,6 +235,14 @@ b as (select d, v, max(v) over (order by d rows between unbounded preceding and
 g as (select d, v, case when best is null or v >= best then 1 else 0 end up, sum(case when best is null or v >= best then 1 else 0 end) over (order by d) grp from b)
 select d, v, cast(row_number() over (partition by grp order by d) - 1 as bigint) patience from g""")
 both("predicted_triples", "labels documents", "select d.source e1, case d.n_chars % 4 when 1 then 'toxic' when 2 then 'good' else 'good/toxic' end r, d.lang e2, cast(count(*) as bigint) n from documents d where d.n_chars % 4 <> 0 group by 1, 2, 3")
+@query(FULL + "select e1, case d.n_chars % 4 when 1 then 'toxic' when 2 then 'good' else 'good/toxic' end r, e2, count(*)::bigint n from pairs join documents d using (doc_id) where d.n_chars % 4 <> 0 and tag1 not like 'nr%' and tag2 not like 'nr%' group by all")
+def predicted_triples_not_nr(spark, d):
+    classes = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 4).alias("c")).where("c <> 0")
+    found = _pairs(spark, d)[0].where(~F.startswith("tag1", F.lit("nr")) & ~F.startswith("tag2", F.lit("nr"))).join(classes, "doc_id")
+    r = F.when(F.col("c") == 1, "toxic").when(F.col("c") == 2, "good").otherwise("good/toxic").alias("r")
+    return found.groupBy("e1", r, "e2").agg(F.count(F.lit(1)).alias("n"))
+
+
 both("new_triples", "lineitem", "select distinct a.l_suppkey s, a.l_partkey o from lineitem a where a.l_linenumber = 2 and not exists (select 1 from lineitem b where b.l_linenumber = 1 and b.l_suppkey = a.l_suppkey and b.l_partkey = a.l_partkey)")
 
 
@@ -287,6 +295,12 @@ def skyline_candidates(spark, d):
     return worse.select("p_partkey", "p_brand")
 
 
+@query(f"with {SKY} select n_candidates, count(*)::bigint n from (select p_brand, count(*)::bigint n_candidates from pts a where not exists (select 1 from pts b where b.p_brand = a.p_brand and b.p_size >= a.p_size and b.p_retailprice >= a.p_retailprice and b.n >= a.n and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice or b.n > a.n)) group by p_brand) group by n_candidates")
+def skyline_histogram(spark, d):
+    each = skyline_candidates(spark, d).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_candidates"))
+    return each.groupBy("n_candidates").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _points(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
     return table(spark, d, "part").join(lines, "p_partkey", "left").select("p_partkey", "p_brand", "p_size", "p_retailprice", F.coalesce("n", F.lit(0)).alias("n"))
@@ -307,6 +321,7 @@ def relation_canonicalise(spark, d):
 
 
 both("kg_statistics", "customer supplier orders", "select 'customer' kind, cast(count(*) as bigint) n from customer union all select 'supplier', cast(count(*) as bigint) from supplier union all select 'placed', cast(count(*) as bigint) from orders union all select 'idle', cast(count(*) as bigint) from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+both("kg_edge_weights", "orders lineitem", "select o_custkey a, l_suppkey b, cast(count(*) as bigint) weight from orders join lineitem on l_orderkey = o_orderkey group by o_custkey, l_suppkey")
 EDGES = "e as (select * from (select p_partkey a, lead(p_partkey) over (partition by p_name, p_brand order by p_partkey) b from part) q where b is not null)"
 
 
@@ -348,6 +363,14 @@ def pagerank_fixed_iter(spark, d):
 both("type_subgraph", "customer supplier", "select c_custkey a, s_suppkey b from customer join supplier on c_nationkey = s_nationkey where c_acctbal > 5000 and s_acctbal > 5000")
 
 
+both("type_graph_nodes", "nation customer orders lineitem supplier", """with e as (select distinct c_nationkey a, s_nationkey b from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey),
+g as (select concat('region ', cast(n_regionkey as string)) kind, n_nationkey node from nation union all select 'all', n_nationkey from nation),
+t as (select x.kind, e.a, e.b from e join g x on x.node = e.a join g y on y.node = e.b and y.kind = x.kind),
+ends as (select kind, a node, case when a = b then 1 else 0 end self from t union all select kind, b, 0 from t),
+k as (select g.kind, g.node, cast(count(ends.node) as bigint) degree, cast(coalesce(sum(ends.self), 0) as bigint) self_loops from g left join ends on ends.kind = g.kind and ends.node = g.node group by g.kind, g.node)
+select kind, node, degree, self_loops, degree = 2 * self_loops isolated from k""")
+
+
 @query()
 def spectral_clusters(spark, d):
     ids = _links(spark, d).select(F.pmod(F.xxhash64("a"), F.lit(1 << 40)).alias("src"), F.pmod(F.xxhash64("b"), F.lit(1 << 40)).alias("dst"), F.lit(1.0).alias("w"))
