@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, arrow_pass, table
+from .common import BoundedCache, arrow_pass, held, table
 
 LONG_PARTS = 64
 #: Entries that a Python worker keeps of pre-tokens it has seen.
@@ -41,7 +41,6 @@ NEAR_END = 0x250
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NONE = 1 << 60
 NO_RANK = np.int32(2**31 - 1)
-_LOADED: dict[str, tuple] = {}
 
 
 def byte_letters() -> list[str]:
@@ -268,7 +267,7 @@ class Codec:
         """Look-ups for all pre-tokens of ``cut``; ``known`` gets those it lacks."""
         lacking = lambda: set().union(*(filterfalse(known.__contains__, words) for pieces in cut for _, words in pieces))
         new = lacking()
-        if known.make_room(len(new)):
+        if known.make_room(len(new), sum(map(len, new))):
             new = lacking()
         known.update((w, value(n, ids)) for w, n, ids in self.merge_all(new))
         return known.__getitem__
@@ -300,15 +299,16 @@ def default_spec() -> str:
         return file.read()
 
 
-def _codec(held, name: str) -> Codec:
+def _codec(sent, name: str) -> Codec:
     """The worker's codec; the vocabulary file came by broadcast (its size is fixed), with the proved words if any."""
-    if name not in _LOADED:
-        _LOADED.clear()
-        spec, proved = held.value
+
+    def build() -> Codec:
+        spec, proved = sent.value
         codec = Codec(spec)
         codec.counts = BoundedCache(codec.counts._compute, CACHE_LIMIT, dict.fromkeys(proved, 1))
-        _LOADED[name] = (codec,)
-    return _LOADED[name][0]
+        return codec
+
+    return held(name, build)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -317,10 +317,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encode_documents(docs: DataFrame, *, spec: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (text)."""
-    held, name = docs.sparkSession.sparkContext.broadcast((spec or default_spec(), [])), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast((spec or default_spec(), [])), uuid.uuid4().hex
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(held, name)
+        codec = _codec(sent, name)
         ids = codec.encode_all(part.column(1).to_pylist())
         decoded = [codec.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
@@ -331,10 +331,10 @@ def encode_documents(docs: DataFrame, *, spec: str | None = None, id_col: str =
 def count_tokens(docs: DataFrame, *, spec: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit."""
     spec = spec or default_spec()
-    held, name = docs.sparkSession.sparkContext.broadcast((spec, Codec(spec).single_tokens())), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast((spec, Codec(spec).single_tokens())), uuid.uuid4().hex
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(held, name)
+        codec = _codec(sent, name)
         counts = codec.count_all(part.column(2).to_pylist())
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

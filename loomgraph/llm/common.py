@@ -2,25 +2,63 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handled at once inside an Arrow pass; bounds what a Python worker holds besides the batch itself.
-SLICE_ROWS = 1024
+#: Rows and bytes of variable-length columns handled at once inside an Arrow pass (a larger row is alone); they bound what
+#: a Python worker holds besides the batch itself.
+SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+_HELD: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def _sizes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binaries of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            wide = np.int64 if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind) else np.int32
+            offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + batch.num_rows + 1] if batch.num_rows else np.zeros(1, wide)
+            total += np.diff(offsets)
+    return total
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows and ``size`` bytes of texts; a row of more bytes is a slice of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(_sizes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def held(name: str, build: Callable):
+    """What ``build`` makes, kept in this worker under ``name``. A worker keeps one model at a time, whichever operator's;
+    the memory of the one before goes back to the system."""
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = build()
+    return _HELD[name]
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -41,39 +79,69 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where all run on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
         named = spark.sparkContext.getCheckpointDir()
-    return named
+    return named.rstrip("/")
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``materialise`` writes inside are deleted at the end, but for those that ``keep`` has been asked for."""
+    paths: list[str] = []
+    _WRITTEN.append(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.remove(paths)
+        for path in paths:
+            drop(spark, path)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+def materialise(df: DataFrame, *, keep: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there and lost executors lose nothing.
+    Inside ``scratch`` the table goes at its end, unless it is to be kept."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 class BoundedCache(dict):
-    """A dict that computes what is missing and is emptied back to its fixed part beyond ``limit`` entries."""
+    """A dict that computes what is missing; emptied back to its fixed part beyond ``limit`` entries or ``size`` bytes of
+    keys and values, by their lengths."""
 
-    def __init__(self, compute: Callable, limit: int, fixed: dict | None = None):
+    def __init__(self, compute: Callable, limit: int, fixed: dict | None = None, size: int = 24_000_000):
         super().__init__(fixed or {})
-        self._compute, self._limit, self._fixed = compute, limit, fixed or {}
+        self._compute, self._limit, self._fixed, self._size, self._used = compute, limit, fixed or {}, size, 0
 
     def __missing__(self, key):
         value = self._compute(key)
-        self.make_room(1)
+        self.make_room(1, len(key))
         self[key] = value
         return value
 
-    def make_room(self, n: int) -> bool:
-        """Whether entries had to go for ``n`` more."""
-        full = len(self) + n > self._limit + len(self._fixed)
+    def make_room(self, n: int, size: int = 0) -> bool:
+        """Whether entries had to go for ``n`` more of ``size`` bytes."""
+        full = len(self) + n > self._limit + len(self._fixed) or self._used + size > self._size
         if full:
             self.clear()
             self.update(self._fixed)
+            self._used = 0
+        self._used += size
         return full

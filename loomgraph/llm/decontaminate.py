@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, slices, table
+from .common import arrow_pass, as_bytes, held, slices, table
 
 WIDTH = 10
 #: Bytes of distinct windows in one automaton; a trie node takes about 40 bytes of memory.
@@ -33,7 +33,6 @@ BLOCK_BYTES = 4_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_BUILT: dict[str, tuple] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,13 +95,10 @@ _RUN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _scan(docs: DataFrame, windows: list[tuple[str, list]], only_hits: bool) -> DataFrame:
-    held, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = (build_automaton(held.value),)
-        (automaton,) = _BUILT[name]
+        automaton = held(name, lambda: build_automaton(sent.value))
         texts, rows = as_bytes(part.column(1)), []
         for i, text in enumerate(texts):
             n, runs, items = scan_text(text, automaton)
@@ -162,12 +158,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
 
 def _keeper(docs: DataFrame, windows: list, at: int):
-    held, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
+    sent, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     def run(batches):
-        automaton = build_automaton(held.value) if name not in _BUILT else _BUILT[name][0]
-        _BUILT.clear()
-        _BUILT[name] = (automaton,)
+        automaton = held(name, lambda: build_automaton(sent.value))
         for part in slices(batches):
             yield part.filter(pa.array([not scan_text(t, automaton)[1] for t in as_bytes(part.column(at))], pa.bool_()))
 
