@@ -346,8 +346,8 @@ def count_query(spark, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *, keep_ids: bool = False) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", *(["ids"] if keep_ids else []), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def encode_query(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ compared by a bounded difference: the sum of differences of quartiles and of len
 these quartiles could have; likeness is 1 less that.
 
 The query compares each text with an edited one that borrows from the next document in ascending doc_id. Rows are dealt
-by ranges of doc_id; the first row of each range is also sent to the range before it (and the first of all to the last
-one), so each range is a stream of neighbours and no range needs another's rows. Text is shuffled once.
+by ranges of (doc_id, hash of the text, row), so a repeated doc_id is spread over ranges, and each range is a stream of
+neighbours. A range's first and last rows are told apart, and each last one meets the next range's first in a join of one
+row a range. Text is shuffled once.
 
 Defined results: null is the empty text, whose digest has length 0 and empty buckets; two empty digests are alike by 1;
 a null doc_id comes first; rows of one doc_id follow each other by a hash of their text; a single row is its own next.
@@ -19,11 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, slices, table
 
 BUCKETS = 256
 #: Positions of the second and third byte of a triplet after its first.
@@ -95,6 +96,9 @@ def edit(text: str, following: str) -> str:
 
 
 _OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+#: The first and the last row of a partition, whose neighbours are in others.
+_EDGE = [("part", pa.int32()), ("is_last", pa.bool_()), ("edge_id", pa.int64()), ("text", pa.string())]
+_EDGE_SQL = "part int, is_last boolean, edge_id bigint, text string"
 _OUT_SQL = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -102,57 +106,63 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: doc_id and its fingerprint. Equal texts have equal fingerprints."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(digest((t or "").encode())) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-def neighbours(docs: DataFrame, key: str, ranges: int) -> DataFrame:
-    """``docs`` dealt and sorted by ranges of ``key`` (a bigint without nulls), with columns ``part`` and ``borrowed``: the
-    rows of the next range's first key follow those of each range, marked as borrowed."""
-    cuts = sorted({float(x) for x in docs.select(F.col(key).cast("double").alias(key)).approxQuantile(key, [k / ranges for k in range(1, ranges)], 0.2 / ranges)} if ranges > 1 else set())
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        numbered = lambda df: Bucketizer(splits=splits, inputCol="_x", outputCol="_part").transform(df.withColumn("_x", F.col(key).cast("double"))).withColumn("part", F.col("_part").cast("int")).drop("_x", "_part")
-    else:
-        numbered = lambda df: df.withColumn("part", F.lit(0))
-    # one row for each range, so its size is known
-    firsts = sorted((r["part"], r["k"]) for r in numbered(docs.select(key)).groupBy("part").agg(F.min(key).alias("k")).collect())
-    to = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first of all goes to the last range
-    if not to:
-        return docs.withColumn("part", F.lit(0)).withColumn("borrowed", F.lit(False))
-    target = F.create_map(*(x for k, p in to.items() for x in (F.lit(k), F.lit(p))))
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("borrowed"))
-    lent = F.struct(target[F.col(key)].alias("part"), F.lit(True).alias("borrowed"))
-    sent = numbered(docs).withColumn("_to", F.explode(F.when(target[F.col(key)].isNotNull(), F.array(own, lent)).otherwise(F.array(own))))
-    return sent.select(*docs.columns, "_to.part", "_to.borrowed").repartition(ranges, "part")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its digest, that of its edited text, and their likeness and the next document's."""
-    ranges = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = neighbours(texts, "key", ranges).sortWithinPartitions("part", "borrowed", "key", F.xxhash64("text"))
+    # rows that are equal in id and text may lie in several ranges: which of them is where makes no difference
+    order = ["key", "tie", "row"]
+    dealt = texts.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        held = None  # the row that waits for its next one: part, doc_id, text, its bytes' digest
-        for batch in batches:
-            rows = []
-            for doc_id, text, part, borrowed in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "part", "borrowed")), strict=True):
-                if borrowed and (held is None or held[0] != part):
-                    continue  # not the first of the borrowed rows
+        held = None  # the row that waits for its next one: doc_id, text, its digest
+        part = TaskContext.get().partitionId()
+        for batch in slices(batches):
+            rows, edges = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = digest(text.encode())
-                if held is not None and held[0] == part:
-                    _, there, old, codes = held
-                    edited = edit(old, text).encode()
-                    other = digest(edited)
-                    rows.append((there, len(old), hashlib.sha256(edited).hexdigest(), to_text(codes), to_text(other), likeness(codes, other), likeness(codes, own)))
-                held = None if borrowed else (part, doc_id, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_OUT)], [c for c, _ in _OUT])
-
-    return dealt.mapInArrow(run, _OUT_SQL)
+                if held is None:
+                    edges.append((part, False, doc_id, text))
+                else:
+                    rows.append(_row(*held, text, own))
+                held = doc_id, text, own
+            yield _batch(rows, edges)
+        if held is not None:
+            yield _batch([], [(part, True, held[0], held[1])])
+
+    found = materialise(dealt.mapInArrow(run, f"{_OUT_SQL}, {_EDGE_SQL}"))
+    edges = found.where("part is not null").select("part", "is_last", F.col("edge_id").alias("doc_id"), "text")
+    # one row a partition
+    firsts = edges.where("not is_last").select("part", F.col("text").alias("next_text"))
+    ends = edges.where("is_last").select("part", "doc_id", "text")
+    turn = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("then"), F.first("part").over(Window.orderBy("part")).alias("very_first")).select(F.col("part"), F.coalesce("then", "very_first").alias("then"))
+    met = ends.join(turn, "part").join(firsts.withColumnRenamed("part", "then"), "then").select("doc_id", "text", "next_text")
+
+    def close(batches):
+        for batch in slices(batches, 64):
+            yield _batch([_row(i, t, digest(t.encode()), n, digest(n.encode())) for i, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)], []).select([c for c, _ in _OUT])
+
+    columns = [c for c, _ in _OUT]
+    return found.where("part is null").select(*columns).unionByName(met.mapInArrow(close, _OUT_SQL))
+
+
+def _row(doc_id: int, text: str, codes: bytes, following: str, next_codes: bytes) -> tuple:
+    edited = edit(text, following).encode()
+    other = digest(edited)
+    return doc_id, len(text), hashlib.sha256(edited).hexdigest(), to_text(codes), to_text(other), likeness(codes, other), likeness(codes, next_codes)
+
+
+def _batch(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows] + [None] * len(edges), t) for k, (_, t) in enumerate(_OUT)]
+    columns += [pa.array([None] * len(rows) + [e[k] for e in edges], t) for k, (_, t) in enumerate(_EDGE)]
+    return pa.RecordBatch.from_arrays(columns, [c for c, _ in _OUT + _EDGE])

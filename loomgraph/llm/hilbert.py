@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 DIMENSIONS, BITS, SHARDS = 4, 8, 24
+#: Rows that make a group large, and the number of parts it is dealt into.
+LARGE, SALTS = 256, 32
 
 
 def _gray(i: int) -> int:
@@ -73,6 +75,19 @@ def curve_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(levels, start, step, lambda s: s["h"])
 
 
+def _with_group_curve(placed: DataFrame) -> DataFrame:
+    """``placed`` with the least curve index of its text's group. Large groups are dealt over ``SALTS`` salts, so that no task
+    gets one; a text that occurs once needs no join."""
+    group = ["text_key", "text_crc32", "size"]
+    groups = materialise(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("group_curve")).where("n > 1"))
+    large = groups.where(F.col("n") >= LARGE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
+    small = groups.where(F.col("n") < LARGE).select(*group, F.col("group_curve").alias("_small"))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "curve"), F.lit(SALTS)).cast("int"))
+    told = salted.join(large, [*group, "salt"], "left").drop("salt")
+    rest = told.where("group_curve is null").drop("group_curve").join(small, group, "left")
+    return told.where("group_curve is not null").unionByName(rest.withColumn("group_curve", F.coalesce("_small", "curve")).drop("_small"))
+
+
 def shard(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law isn't ``key``),
     curve_index."""
@@ -90,12 +105,11 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS, id_col: st
     base = materialise(base)  # the texts are read once
     low, high = base.agg(F.min("doc_id"), F.max("doc_id")).first()
     span = max((high or 0) - (low or 0), 1)
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(float(span)) * top), F.lit(0)).cast("int")
+    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(float(span)) * top), F.lit(0)).cast("int")
     placed = base.withColumn("c3", cell).withColumn("curve", curve_index([F.col(f"c{i}") for i in range(DIMENSIONS)], bits)).drop("c0", "c1", "c2", "c3")
-    groups = placed.groupBy("text_key", "text_crc32", "size").agg(F.min("curve").alias("group_curve"))
     order = ["group_curve", "text_key", "doc_id", "curve"]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = placed.join(groups, ["text_key", "text_crc32", "size"]).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = _with_group_curve(placed).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     numbered = materialise(ordered.select("doc_id", "size", "text_crc32", "curve", F.monotonically_increasing_id().alias("row")))
     part, within = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     counts = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,14 +2,16 @@
 
 Base spans are exact: leftmost non-overlapping matches of one expression a kind, dropped where their check fails. Wider
 expressions propose more spans (telephone numbers without a country's code, spelt-out addresses, secret keys). Labelers
-vote on every proposal (for, against or no opinion): the regex labeler on its form, the gazetteer labeler on known
-top-level domains, issuers and area codes, the context labeler on the words before it, the bounds labeler on what touches
-it. The corpus is reduced to counts of (kind, votes); expectation-maximisation over all of them estimates how far each
-labeler can be trusted, and a logistic regression trained on its posteriors is the final span classifier. Base spans
-always stay; other proposals stay if the classifier gives them 0.5 or more and they overlap no base span.
+vote on every proposal (for, against or no opinion): the regex labeler on how regular its form is, the gazetteer labeler on
+top-level domains, issuers' digits, the numbering plan's area and exchange codes and reserved address blocks, the context
+labeler on the words before it, the bounds labeler on what touches it. The corpus is reduced to counts of (kind, votes,
+shape); expectation-maximisation over all of them estimates how far each labeler can be trusted, and a logistic regression
+on votes, kind and the span's shape, trained on its posteriors, is the final span classifier. Base spans always stay; other
+proposals stay if the classifier gives them 0.5 or more, they overlap no base span, and no proposal that starts earlier (or
+there, and is longer) covers them.
 
 The texts are read once: proposals with their votes are written, the model is fitted on the counts, and the classifier
-is a table of at most kinds x 3^labelers decisions.
+is a table of at most kinds x 3^labelers x shapes decisions.
 
 Defined results: null is the empty text, without spans; long texts cost time in proportion to their length; repeated
 rows get equal results; an empty table has no rows. Offsets are code points, end exclusive.
@@ -42,12 +44,15 @@ _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{
 _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
 _TLD = frozenset("com org net edu gov int io de fr es uk eu us ch at it nl info biz".split())
 _CUES = {
-    "email": ("mail", "contact", "kontakt", "correo", "courriel", "@"),
-    "ip": ("ip", "host", "server", "address", "adresse"),
-    "card": ("card", "karte", "carte", "tarjeta", "visa", "credit"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "+"),
-    "secret": ("token", "key", "secret", "password", "api", "="),
+    "email": "e-?mail|mail|contact|kontakt|correo|courriel",
+    "ip": "ip|host|server|address|adresse",
+    "card": "card|karte|carte|tarjeta|visa|credit",
+    "phone": "phone|telephone|tel|call|fax|mobile",
+    "secret": "token|key|secret|password|api",
 }
+_CUES = {kind: re.compile(rf"(?<![^\W_])(?:{words})(?![^\W_])") for kind, words in _CUES.items()}
+#: Shapes of a span: three lengths, with and without letters.
+SHAPES = 6
 
 
 def luhn(digits: str) -> bool:
@@ -88,52 +93,65 @@ def _wider(text: str) -> list[tuple[str, int, int]]:
     return out + [("secret", *m.span()) for m in _SECRET.finditer(text)]
 
 
-def _votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
+def _votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
     """Of each labeler: 1 for, -1 against, 0 without an opinion."""
     span, digits = text[start:end], [c for c in text[start:end] if c.isdigit()]
-    form = 1 if base or kind in ("phone", "email") else (1 if len(span) in (32, 40, 64, 128) and any(c.isalpha() for c in span) else 0)
     if kind == "email":
-        known = 1 if re.split(r"[.\s)\]]", span.lower())[-1] in _TLD else 0
+        last = re.split(r"[.\s)\]]", span.lower())[-1]
+        form = 1 if span[0].isalnum() and len(last) >= 2 and last.isalpha() else -1
+        known = 1 if last in _TLD else 0
     elif kind == "card":
+        form = 1 if len(digits) == 16 and len(set(re.sub("[0-9]", "", span))) <= 1 else 0
         known = 1 if digits[0] in "23456" else -1
     elif kind == "phone":
-        known = 1 if len(digits) >= 10 else 0 if len(digits) > 7 else -1
+        form = 1 if len(set(re.sub(r"[0-9+() ]", "", span))) <= 1 and len(digits) >= 10 else 0
+        area = digits[-10:]
+        planned = len(area) == 10 and area[0] > "1" and area[3] > "1" and area[1:3] != ["1", "1"]
+        known = (1 if digits[0] != "0" else -1) if span[0] == "+" else 1 if planned else -1
     elif kind == "ip":
-        known = -1 if span.split(".")[0] in ("0", "127", "255") or span.startswith("1.0.") else 1
+        parts = span.split(".")
+        form = 1 if all(p == "0" or p[0] != "0" for p in parts) else -1
+        known = -1 if parts[0] in ("0", "127", "255") or span.startswith("1.0.") else 1
     else:
+        form = 1 if len(span) in (32, 40, 64, 128) and any(c.isalpha() for c in span) else 0
         known = 1 if 6 <= len(set(span.lower())) else -1
-    before = text[max(0, start - 24) : start].lower()
-    cue = 1 if any(c in before for c in _CUES[kind]) else 0
+    cue = 1 if _CUES[kind].search(text[max(0, start - 24) : start].lower()) else 0
     touching = text[max(0, start - 1) : start] + text[end : end + 1]
     bound = -1 if any(c.isalnum() for c in touching) else 1
     return form, known, cue, bound
 
 
+def shape(span: str) -> int:
+    return min(2, len(span) // 16) * 2 + any(map(str.isalpha, span))
+
+
 def proposals(text: str | None) -> list[tuple[str, int, int, bool, int]]:
-    """(kind, start, end, whether it is a base span, its votes as one number)."""
+    """(kind, start, end, whether it is a base span, its votes and shape as one number)."""
     if not text:
         return []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
     out = [(k, a, b, True) for k, a, b in base]
-    for kind, a, b in _wider(text):
+    free = 0
+    for kind, a, b in sorted(_wider(text), key=lambda s: (s[1], -s[2], s[0])):
         i = int(np.searchsorted(starts, b))
-        if not i or ends[i - 1] <= a:
+        if a >= free and (not i or ends[i - 1] <= a):
             out.append((kind, a, b, False))
-    return [(k, a, b, own, pattern(_votes(text, k, a, b, own))) for k, a, b, own in out]
+            free = b
+    return [(k, a, b, own, pattern(_votes(text, k, a, b), shape(text[a:b]))) for k, a, b, own in out]
 
 
-def pattern(votes: tuple[int, ...]) -> int:
-    return sum((v + 1) * 3**k for k, v in enumerate(votes))
+def pattern(votes: tuple[int, ...], shape: int) -> int:
+    return sum((v + 1) * 3**k for k, v in enumerate(votes)) + 3 ** len(votes) * shape
 
 
 def fit(counts: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]:
     """Probability that a proposal is personal data, for every kind and pattern of votes, from the counts of all."""
-    every = list(itertools.product(range(len(KINDS)), itertools.product((-1, 0, 1), repeat=len(LABELERS))))
-    votes = np.array([v for _, v in every])
-    kinds = np.array([k for k, _ in every])
-    n = np.array([counts.get((KINDS[k], pattern(v)), 0) for k, v in every], float)
+    every = list(itertools.product(range(len(KINDS)), itertools.product((-1, 0, 1), repeat=len(LABELERS)), range(SHAPES)))
+    votes = np.array([v for _, v, _ in every])
+    kinds, shapes = np.array([k for k, _, _ in every]), np.array([x for _, _, x in every])
+    n = np.array([counts.get((KINDS[k], pattern(v, x)), 0) for k, v, x in every], float)
     onehot = np.stack([votes == x for x in (-1, 0, 1)], 2).astype(float)
     truth = np.clip(0.5 + 0.18 * votes.sum(1), 0.05, 0.95)  # the majority starts
     for _ in range(ROUNDS):
@@ -152,15 +170,15 @@ def fit(counts: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]:
         truth = new
     seen = n > 0
     if not seen.any():
-        return {(KINDS[k], pattern(v)): 0.0 for k, v in every}
-    inputs = np.column_stack([onehot[:, :, 0], onehot[:, :, 2], np.eye(len(KINDS))[kinds]])
+        return {(KINDS[k], pattern(v, x)): 0.0 for k, v, x in every}
+    inputs = np.column_stack([onehot[:, :, 0], onehot[:, :, 2], np.eye(len(KINDS))[kinds], np.eye(SHAPES)[shapes]])
     # soft labels: each pattern once for and once against, by its share of the proposals
     share = n[seen] / n[seen].sum() * min(n.sum(), 10_000)
-    x = np.vstack([inputs[seen], inputs[seen]])
+    rows = np.vstack([inputs[seen], inputs[seen]])
     weights = np.concatenate([share * truth[seen], share * (1 - truth[seen])])
-    w = _weighted_logistic(x, np.concatenate([np.ones(seen.sum()), np.zeros(seen.sum())]), weights)
+    w = _weighted_logistic(rows, np.concatenate([np.ones(seen.sum()), np.zeros(seen.sum())]), weights)
     p = 1 / (1 + np.exp(-np.clip(w[0] + inputs @ w[1:], -30, 30)))
-    return {(KINDS[k], pattern(v)): float(q) for (k, v), q in zip(every, p, strict=True)}
+    return {(KINDS[k], pattern(v, x)): float(q) for (k, v, x), q in zip(every, p, strict=True)}
 
 
 def _weighted_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -186,9 +204,10 @@ def _proposed(texts: list[str | None]) -> pa.Array:
 
 def _accepted(found: DataFrame, column: str = "proposed") -> Column:
     """Fit on the counts of all proposals in ``found``; the accepted ones of a row, by kind as listed, then start."""
-    counts = found.select(F.explode(column).alias("p")).groupBy("p.kind", "p.votes").count().collect()  # at most kinds x 3^labelers
+    counts = found.select(F.explode(column).alias("p")).groupBy("p.kind", "p.votes").count().collect()  # at most kinds x 3^labelers x shapes
     model = fit({(r["kind"], r["votes"]): r["count"] for r in counts})
-    good = F.array(*[F.lit(f"{k}{v}") for (k, v), p in model.items() if p >= 0.5] or [F.lit("")])
+    seen = {(r["kind"], r["votes"]) for r in counts}
+    good = F.array(*[F.lit(f"{k}{v}") for (k, v), p in model.items() if p >= 0.5 and (k, v) in seen] or [F.lit("")])
     kept = F.filter(column, lambda p: p["base"] | F.array_contains(good, F.concat(p["kind"], p["votes"].cast("string"))))
     rank = F.create_map(*(F.lit(x) for pair in zip(KINDS, range(len(KINDS)), strict=True) for x in pair))
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(rank[p["kind"]].alias("rank"), p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), p["base"].alias("base"))))
@@ -249,4 +268,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     number = [F.size(F.filter(F.transform(base, lambda s: s["kind"]), _equal_to(k))).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *number, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *number, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, arrow_pass, materialise, table
+from .common import BoundedCache, arrow_pass, held, materialise, table
 
-#: Labelled rows that the lexicon and the weights are fitted on, chosen by hash; terms of the lexicon.
-SAMPLE, LEXICON = 12_000, 200
+#: Labelled rows that the lexicon and the weights are fitted on, chosen by hash; toxic groups that a term is in at least.
+SAMPLE, LEAST_GROUPS = 12_000, 5
 #: Words on either side that make a hit's context; words on either side looked at for signs of quotation.
 WINDOW, NEAR = 25, 3
 CACHE_LIMIT = 300_000
@@ -37,7 +37,6 @@ _REPORTING = frozenset(["said", "says", "quote", "quoted", "wrote", "called", "w
 _EDGE = re.compile(r"^\W+|\W+$")
 #: The boundaries that the lexicon is learned with.
 _WORD = re.compile(r"[^\W_]+")
-_BUILT: dict[str, tuple] = {}
 FEATURES = ("hits", "misspelled", "terms", "density", "context", "quoted")
 
 
@@ -158,12 +157,14 @@ class Scorer:
         return any(_QUOTES.intersection(t) or t.strip(".,:;!?") in _REPORTING for t in near)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """At most SAMPLE labelled rows that aren't held out, with their texts; the limit makes the broadcast's bound."""
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
+    """At most ``size`` labelled rows that aren't held out, with their texts; the limit makes the broadcast's bound. Rows that
+    repeat a labelled id and text count once, and the bound holds again after them."""
     chosen = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    chosen = chosen.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(label_col) == 1).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(SAMPLE)
+    chosen = chosen.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(label_col) == 1).cast("int").alias("toxic")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(size)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "key").limit(size).select("doc_id", "text", "toxic")
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
@@ -172,7 +173,7 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     rows = sample.select("toxic", words.alias("ws")).where(F.size("ws") > 0)
     # four words in a row are rarely common to documents that aren't copies
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("ws", i, 4)))
-    rows = rows.withColumn("grp", F.array_min(runs)).withColumn("ws", F.array_distinct(F.filter("ws", lambda w: F.length(w) >= 3)))
+    rows = rows.withColumn("grp", F.array_min(runs)).withColumn("ws", F.array_distinct("ws"))
     totals = rows.groupBy("toxic").agg(F.countDistinct("grp").alias("n"))
     n = {r["toxic"]: r["n"] for r in totals.collect()}
     if not n.get(0) or not n.get(1):
@@ -181,9 +182,9 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     counts = once.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (n[1] - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (n[0] - F.col("q") + 0.5))
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    # a term is in one toxic group of fifty at least, and in five
-    chosen = counts.where((F.col("p") >= max(5, n[1] / 50)) & (odds > 2)).withColumn("z", odds / spread).where("z > 4").orderBy(F.desc("z"), "w").limit(LEXICON)
-    return [r["w"] for r in chosen.collect()]
+    # in five toxic groups at least; the terms are as many as the sample's words bear out
+    chosen = counts.where((F.col("p") >= LEAST_GROUPS) & (odds > 2) & (odds / spread > 4))
+    return sorted(r["w"] for r in chosen.collect())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -201,22 +202,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 
 def _mapped(df: DataFrame, model: tuple, fn, column: str, kind: pa.DataType, sql: str) -> DataFrame:
     """``df`` (doc_id, text, one more) with the text replaced by what ``fn`` makes of it with the worker's scorer."""
-    held, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     middle, middle_sql = df.dtypes[1]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = (Scorer(held.value[0], held.value[1]),)
-        scorer = _BUILT[name][0]
+        scorer = held(name, lambda: Scorer(*sent.value[:2]))
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([fn(scorer, t) for t in part.column(2).to_pylist()], kind)], ["doc_id", middle, column])
 
     return arrow_pass(df, run, f"doc_id bigint, {middle} {middle_sql}, {column} {sql}", 2048)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple:
-    """(terms, harmless variants, weights)."""
-    sample = materialise(_sample(docs, labels, id_col, text_col, label_col))
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE) -> tuple:
+    """(terms, harmless variants, weights), of at most ``sample_rows`` labelled rows."""
+    sample = materialise(_sample(docs, labels, id_col, text_col, label_col, sample_rows))
     terms = learn_lexicon(sample)
     rows = sample.select("doc_id", "toxic", "text")
     if not terms:
