@@ -1,4 +1,12 @@
-"""From raw documents to encoded training text, in five stages that are each written and read again."""
+"""From raw documents to encoded training text, in five stages that are each written and read again.
+
+A document goes if its text is null, has no letters or is in none of the learned languages, if a document of a lesser id is
+in its group of near copies, or if its text holds a benchmark window; all others stay, empty columns, ties in languages and
+further columns included. Rows that repeat one doc_id are rows like others and stay or go together, but for those of one
+group, whose least id stays with all its rows. Without documents every stage is empty; without labelled ones no language
+is learned and nothing stays. The last stage returns doc_id, n_tokens, the token ids (little-endian unsigned 32-bit) and the
+digests of the ids and of the decoded text. A stage's folder goes when the next one is written; the last one stays.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bpe, decontaminate, jaccard, langid, pii
-from loomgraph.llm.common import shared_dir, table
-
+from loomgraph.llm.common import drop, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +39,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_documents(docs))
+    return bpe.digests(bpe.encode_documents(docs), keep_ids=True)
 
 
 STAGES = [
@@ -48,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
