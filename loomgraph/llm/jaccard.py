@@ -18,7 +18,7 @@ then on for what it differs by from the hub's group: the shingles added to and r
 by what most of the group has otherwise. As |x ^ y| is the difference of these differences, the answers of x follow from
 them alone. Sets whose differences together don't exceed K are all linked with the one of the least excess; any other
 partners share one of the first K + 1 differences, added ones first, by the prefix bound. So the differences (hub, shingle)
-make the next lists, each of half the group at most, and the same two kinds of skipping go on in them: a block there is an
+make the next lists, each of half the group at most (from the second round on a group is one list, so rounds are few), and the same two kinds of skipping go on in them: a block there is an
 equal (size, added, removed, position), and removed shingles, which are the frequent ones, are only listed for blocks that
 could have a partner without a common added shingle. Lists that are long once more get a hub of their own. What is already
 in one component needs no further comparison.
@@ -198,14 +198,14 @@ def may_link_apart(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndar
 
 
 class ListReader:
-    """Reads postings sorted by (key, place, spot, set), in batches that may cut lists. Gives the pairs of lists of up to
+    """Reads postings sorted by (key, place, spot, set), each with its set's root, in batches that may cut lists. Gives the pairs of lists of up to
     ``small`` sets, by blocks of equal (place, spot), and the members of longer ones."""
 
     def __init__(self, small: int, may):
         self.small, self.may, self.rest, self.going, self.last = small, may, None, None, None
 
     def read(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of rows [key, place, spot, set]: pairs [x, y] and members [list, set, place]."""
+        """Of rows [key, place, spot, set, root]: pairs [x, y] of different roots and members [list, set, place]."""
         if self.rest is not None:
             rows = np.concatenate((self.rest, rows), 1)
         new = np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0)))
@@ -266,7 +266,9 @@ class ListReader:
             of = np.repeat(np.arange(a.size), times)
             k = np.arange(of.size) - np.repeat(np.cumsum(times) - times, times)
             x, y = block[a][of] + k // size[b][of], block[b][of] + k % size[b][of]
-            x, y = (x, y) if gap else (x[x < y], y[x < y])
+            apart = rows[4, x] != rows[4, y]
+            apart &= (x < y) | (gap > 0)
+            x, y = x[apart], y[apart]
             out.append(np.stack((rows[3, x], rows[3, y])))
         found = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
         found = np.stack((found.max(0), found.min(0))) if found.size else found
@@ -325,7 +327,7 @@ def _lists(index: DataFrame, num: int, den: int) -> DataFrame:
             if doc.any():
                 ids = batch.column(3).filter(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, pa.array(sets[doc]), pa.array(-2 - place[doc])], ["kind", "a", "b", "c"])
-            rows = np.stack((key, place, np.zeros_like(key), sets))[:, ~doc]
+            rows = np.stack((key, place, np.zeros_like(key), sets, sets))[:, ~doc]
             if rows.shape[1]:
                 yield _told(*reader.read(rows))
         yield _told(*reader.finish())
@@ -389,12 +391,12 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, seed: int, name: str)
     return spark.table(name)
 
 
-def _moved(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) with both sets' shingles."""
+def _moved(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    """The pairs (x, y) with both sets' shingles and further columns of their own."""
     left, right = (sets.select(F.col("set_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "xy")
     # the sets on the right are first cut down to those asked for, which the buckets do without moving them
     right = right.join(pairs.select("y").distinct(), "y", "left_semi")
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
+    return pairs.select("x", "y", *more).join(left, "x").join(right, "y").select("x", "y", "sx", "sy", *more)
 
 
 def _linked_sets(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -414,12 +416,12 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _moved(pairs, sets).mapInArrow(run, "x bigint, y bigint").distinct()
 
 
-#: What x differs by from its hub: sorted shingles added and removed; n: the size of x.
-_DIFFERENCES = "x bigint, hub bigint, n bigint, added binary, removed binary"
+#: What x differs by from its group's hub: sorted shingles added and removed; n: the size of x. hub: the group's key.
+_DIFFERENCES = "x bigint, hub bigint, root bigint, n bigint, added binary, removed binary"
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the sets x and their hubs y; a hub belongs to its own group."""
+    """Of the sets x and the hubs y of their groups ``hub``; a hub belongs to its own group."""
 
     def run(batches):
         for part in slices(batches, 1024):
@@ -429,11 +431,9 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 n.append(a.size)
                 added.append(np.setdiff1d(a, b, True).tobytes())
                 removed.append(np.setdiff1d(b, a, True).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], ["x", "hub", "n", "added", "removed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(5), pa.array(n, pa.int64()), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], ["x", "hub", "root", "n", "added", "removed"])
 
-    nothing = F.lit(b"")
-    hubs = pairs.select(F.col("y").alias("set_id")).distinct().join(sets, "set_id").select(F.col("set_id").alias("x"), F.col("set_id").alias("hub"), "n", nothing.alias("added"), nothing.alias("removed"))
-    return _moved(pairs, sets).mapInArrow(run, _DIFFERENCES).unionByName(hubs)
+    return _moved(pairs, sets, "hub", "root").mapInArrow(run, _DIFFERENCES)
 
 
 def _usual(found: DataFrame) -> DataFrame:
@@ -454,10 +454,10 @@ def _usual(found: DataFrame) -> DataFrame:
 
 
 #: kind 0: a set of a hub's group, place: its excess; 1: an added shingle of x; 2: a removed one.
-_POSTED = "kind int, x bigint, hub bigint, key bigint, place bigint, spot bigint"
+_POSTED = "kind int, x bigint, hub bigint, root bigint, key bigint, place bigint, spot bigint"
 
 
-def posted(x: int, hub: int, n: int, added: np.ndarray, removed: np.ndarray, more: np.ndarray, fewer: np.ndarray, num: int, den: int) -> np.ndarray:
+def posted(x: int, hub: int, root: int, n: int, added: np.ndarray, removed: np.ndarray, more: np.ndarray, fewer: np.ndarray, num: int, den: int) -> np.ndarray:
     """Rows of _POSTED of a set from the pivot, its hub with ``more`` and without ``fewer``: its first K + 1 differences, K
     being the most in which any partner differs from it, and its excess: two sets whose excesses are not over 0 together
     differ by no more than the threshold allows."""
@@ -475,20 +475,20 @@ def posted(x: int, hub: int, n: int, added: np.ndarray, removed: np.ndarray, mor
     kind = np.repeat([0, 1, 2], (1, first.size, then.size))
     place = NOWHERE if max(n, n - added.size + removed.size) >= 1 << 20 else n << 40 | added.size << 20 | removed.size
     excess = (added.size + removed.size) * (den + num) - (den - num) * n
-    return np.stack((kind, *(np.full(kind.size, v) for v in (x, hub)), np.append(0, key), np.append(excess, np.full(e.size, place)), np.append(0, np.arange(e.size))))
+    return np.stack((kind, *(np.full(kind.size, v) for v in (x, hub, root)), np.append(0, key), np.append(excess, np.full(e.size, place)), np.append(0, np.arange(e.size))))
 
 
 def _posted(found: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for part in slices(batches, 1024):
-            x, hub, n, added, removed, more, fewer = (part.column(k).to_pylist() for k in range(7))
+            x, hub, root, n, added, removed, more, fewer = (part.column(k).to_pylist() for k in range(8))
             whole = [np.frombuffer(v, "<u8") for v in added], [np.frombuffer(v, "<u8") for v in removed]
             usual = [[np.sort(np.array(v or [], np.int64).view(np.uint64)) for v in side] for side in (more, fewer)]
-            rows = [posted(*of, num, den) for of in zip(x, hub, n, *whole, *usual, strict=True)]
-            rows = np.concatenate(rows, 1) if rows else np.empty((6, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])], ["kind", "x", "hub", "key", "place", "spot"])
+            rows = [posted(*of, num, den) for of in zip(x, hub, root, n, *whole, *usual, strict=True)]
+            rows = np.concatenate(rows, 1) if rows else np.empty((7, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:])], ["kind", "x", "hub", "root", "key", "place", "spot"])
 
-    return found.join(_usual(found), "hub", "left").select("x", "hub", "n", "added", "removed", "more", "fewer").mapInArrow(run, _POSTED)
+    return found.join(_usual(found), "hub", "left").select("x", "hub", "root", "n", "added", "removed", "more", "fewer").mapInArrow(run, _POSTED)
 
 
 def _derived(told: DataFrame) -> DataFrame:
@@ -540,12 +540,12 @@ def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
         reader = ListReader(SMALL_DIFFERENCE_LIST, lambda *of: may_link_apart(*of, num, den))
         for batch in batches:
             if batch.num_rows:
-                yield _told(*reader.read(np.stack([batch.column(k).to_numpy() for k in range(4)])))
+                yield _told(*reader.read(np.stack([batch.column(k).to_numpy() for k in range(5)])))
         yield _told(*reader.finish())
 
     listed = found.where("kind = 1").unionByName(found.where("kind = 2").join(_able(found, num, den), ["hub", "place"], "left_semi"))
     parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return listed.select("key", "place", "spot", "x").repartition(parts, "key").sortWithinPartitions("key", "place", "spot", "x").mapInArrow(run, _FOUND)
+    return listed.select("key", "place", "spot", "x", "root").repartition(parts, "key").sortWithinPartitions("key", "place", "spot", "x").mapInArrow(run, _FOUND)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -644,12 +644,11 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
     near = materialise(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")))
     links = materialise(_links(_possible(near, sets, num, den), sets, num, den))
     roots = materialise(components(links))
-    tested = near
-    left = close.distinct()
+    left, merged = close.join(near, ["x", "y"], "left_anti").distinct(), True
     while True:
         # what small lists propose and what hubs tell of long ones, but for pairs that are in one component already
-        apart = _apart(left, roots).join(tested, ["x", "y"], "left_anti")
-        found = materialise(_posted(materialise(_differences(_with_hubs(members, roots), sets)), num, den))
+        apart = _apart(left, roots)
+        found = materialise(_posted(materialise(_differences(_with_hubs(members, roots, merged), sets)), num, den))
         lists = materialise(_difference_lists(found, num, den))
         proposed = lists.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"))
         rest = materialise(_possible(apart.unionByName(_apart(proposed, roots)).distinct(), sets, num, den))
@@ -659,7 +658,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
         if longer.isEmpty():
             return _labelled(rows, first, roots)
         members = materialise(longer.join(longer.groupBy("x").agg(F.count(F.lit(1)).alias("lists")), "x"))
-        left = left.limit(0)
+        left, merged = left.limit(0), False
 
 
 def _rare_lists(found: DataFrame) -> DataFrame:
@@ -687,11 +686,12 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _with_root(_with_root(pairs, roots, "x"), roots, "y").where("x_root <> y_root").select("x", "y")
 
 
-def _with_hubs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Each member x of a list that holds several components with the list's hub y."""
+def _with_hubs(members: DataFrame, roots: DataFrame, merged: bool) -> DataFrame:
+    """Each member x of a list that holds several components, and the hub itself, with the list's hub y, and its group: all
+    lists of one hub if ``merged``, else the list."""
     rooted = _with_root(members, roots, "x")
     several = rooted.groupBy("list").agg(F.min("x_root").alias("lo"), F.max("x_root").alias("hi"), F.max_by("x", F.struct("lists", "x")).alias("y")).where("lo <> hi").select("list", "y")
-    return members.join(several, "list").where("x <> y").select("x", "y").distinct()
+    return rooted.join(several, "list").select("x", "y", F.col("y" if merged else "list").alias("hub"), F.col("x_root").alias("root")).distinct()
 
 
 def _labelled(rows: DataFrame, first: DataFrame, linked: DataFrame | None) -> DataFrame:
