@@ -83,3 +83,40 @@ def fixed(x: Column, places: int = 6) -> Column:
     """Rounded the way that every SQL engine repeats."""
     scale = float(10**places)
     return F.floor(x * scale + 0.5) / scale
+
+
+def unit_span(at: Column) -> Column:
+    """The half-open span of one item."""
+    return F.array(at, at + 1)
+
+
+def none_for_nan(line: Column) -> Column:
+    """A JSON line whose bare NaN is the string none."""
+    return F.regexp_replace(line, r"\bNaN\b", '"none"')
+
+
+def path_leaf(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def path_prefixes(path: Column) -> Column:
+    """All prefixes of a hierarchical relation, itself included: to roll counts up."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def is_family(c: Column, suffix: str = "家族") -> Column:
+    return F.endswith(c, F.lit(suffix))
+
+
+def is_speech(c: Column, mark: str = "——", longer_than: int = 3) -> Column:
+    return F.startswith(c, F.lit(mark)) & (F.length(c) > longer_than)
+
+
+def learning_rate(start: Column, epoch: Column) -> Column:
+    """Halved every second epoch."""
+    return start * F.pow(F.lit(0.5), F.floor(epoch / 2))
+
+
+def last_after(c: Column, mark: str = ">>") -> Column:
+    return F.trim(F.element_at(F.split(c, mark), -1))

@@ -3,16 +3,16 @@ folder, so lineage stays short and lost executors cost one round."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sinks.workspace import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -52,3 +52,9 @@ def pagerank(edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFr
         sent = both.join(degree.join(rank.withColumnRenamed("node", "a"), "a").select("a", (F.col("rank") / F.col("n")).alias("share")), "a")
         rank = _cut(sent.groupBy(F.col("b").alias("node")).agg((F.lit((1 - damping) / max(nodes, 1)) + damping * F.sum("share")).alias("rank")))
     return rank
+
+
+def induced(edges: DataFrame, vertices: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The edges both of whose ends are among ``vertices`` (v)."""
+    ends = vertices.select("v").distinct()
+    return edges.join(ends.withColumnRenamed("v", a), a, "left_semi").join(ends.withColumnRenamed("v", b), b, "left_semi").select(*edges.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.sinks.workspace import new_path
 from loomgraph.sources.tables import small
 
 
@@ -57,12 +58,19 @@ KEY = ["doc_id", "sid", "e1", "e2", "p1", "p2"]
 
 
 def supervised(found: DataFrame, true: DataFrame, potential: DataFrame) -> DataFrame:
-    """Each pair with its labels: from true triples, else from potential ones, else none."""
-    first = matched(found, true).withColumn("tier", F.lit("true"))
-    open_ = found.join(small(both_ways(true)), ["e1", "e2"], "left_anti")
-    second = matched(open_, potential).withColumn("tier", F.lit("potential"))
-    none = open_.join(small(both_ways(potential)), ["e1", "e2"], "left_anti").withColumn("label", F.lit(None).cast("string")).withColumn("tier", F.lit("none"))
-    return first.unionByName(second).unionByName(none)
+    """Each pair with its labels: from true triples, else from potential ones, else none. The labels of both tiers and
+    directions are one dictionary, so the pairs are read once and joined once."""
+    first = _labels(true, "true")
+    second = _labels(potential, "potential").join(small(first.select("e1", "e2").distinct()), ["e1", "e2"], "left_anti")
+    known = small(first.unionByName(second))
+    return found.join(known, ["e1", "e2"], "left").withColumn("tier", F.coalesce("tier", F.lit("none")))
+
+
+def _labels(known: DataFrame, tier: str) -> DataFrame:
+    """e1, e2, label, tier: each relation in both directions."""
+    forward = known.select("e1", "e2", T.directed(F.col("r"), True).alias("label"))
+    back = known.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), T.directed(F.col("r"), False).alias("label"))
+    return forward.unionByName(back).withColumn("tier", F.lit(tier))
 
 
 def both_ways(known: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ def both_ways(known: DataFrame) -> DataFrame:
 def first_encounter_ids(rows: DataFrame, value: str, at: list[str]) -> DataFrame:
     """Zero-based ids by first appearance; null is a value of its own."""
     first = rows.groupBy(value).agg(F.min(F.struct(*at)).alias("at"))
-    return first.select(value, (F.row_number().over(Window.orderBy("at", F.col(value).asc_nulls_first())) - 1).cast("bigint").alias("id"))
+    return numbered(first, ["at", F.col(value).asc_nulls_first()], "id").select(value, F.col("id").cast("bigint").alias("id"))
 
 
 def stratified_split(rows: DataFrame, by: str, key: str) -> DataFrame:
@@ -106,3 +114,40 @@ def literal_candidates(triples: DataFrame, entities: DataFrame, strong: float =
     tier = F.when(F.size("sure") > 0, "candidate").otherwise("fallback").alias("tier")
     rows = chosen.select("s", "o", tier, F.explode(F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.array("best"))).alias("c"))
     return triples.join(rows, ["s", "o"]).select("s", "r", "o", "c.e", T.fixed(F.col("c.sim_o")).alias("sim_o"), T.fixed(F.col("c.sim_s")).alias("sim_s"), "tier")
+
+
+def longest_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """sid columns, pos, n, name, tag of terms of one or more words in tokenised sentences (doc_id, sid, pos, tok): from the
+    left, the longest that starts at a free position. ``terms``: name (words joined by one space), tag."""
+    sized = terms.select("name", "tag", F.size(F.split("name", " ")).alias("n"))
+    longest = sized.agg(F.max("n")).first()[0] or 0
+    here = Window.partitionBy("doc_id", "sid").orderBy("pos")
+    grams = F.array(*(F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *([F.col("tok")] + [F.lead("tok", k).over(here) for k in range(1, n)])).alias("name"), (F.lead("pos", n - 1).over(here) if n > 1 else F.col("pos")).alias("last")) for n in range(1, longest + 1)))
+    found = tokens.withColumn("grams", grams).select("doc_id", "sid", "pos", F.explode("grams").alias("g")).where("g.last is not null").select("doc_id", "sid", "pos", "g.n", "g.name").join(small(sized), ["name", "n"])
+    ordered = F.sort_array(F.collect_list(F.struct("pos", (-F.col("n")).alias("k"), "name", "tag")))
+    start = F.struct(F.lit(-1).cast("bigint").alias("free"), F.array().cast("array<struct<pos:bigint,n:int,name:string,tag:string>>").alias("kept"))
+
+    def step(state, m):
+        taken = F.struct((m["pos"] - m["k"]).cast("bigint").alias("free"), F.concat(state["kept"], F.array(F.struct(m["pos"].cast("bigint").alias("pos"), (-m["k"]).cast("int").alias("n"), m["name"].alias("name"), m["tag"].alias("tag")))).alias("kept"))
+        return F.when(m["pos"] >= state["free"], taken).otherwise(state)
+
+    kept = found.groupBy("doc_id", "sid").agg(F.aggregate(ordered, start, step)["kept"].alias("kept"))
+    return kept.select("doc_id", "sid", F.inline("kept"))
+
+
+def zipped_terms(tags, names):
+    """Tags and names of a vocabulary by position, as one array of pairs."""
+    return F.arrays_zip(tags.alias("tag"), names.alias("name"))
+
+
+def numbered(rows: DataFrame, order: list, name: str = "n") -> DataFrame:
+    """``rows`` with their number, from 0, in a total order, without a task that holds them all: ranges are dealt and sorted,
+    and each adds the count of those before it (one row a range). Written once, so that ranges are the same when read."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    path = new_path(rows.sparkSession, "numbered")
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    held = rows.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_row", 33))
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + within).drop("_part", "_before", "_row")

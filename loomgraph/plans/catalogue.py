@@ -77,7 +77,7 @@ def distant_supervision_pairs(spark, d):
     return _key(S.supervised(*_pairs(spark, d)), "label", "tier")
 
 
-@query(FULL + f"select {_COLS} from pairs")
+@query("with " + ", ".join((SENT, VOCAB, TOKENS, PAIRS)) + f" select {_COLS} from pairs")
 def mention_pairs(spark, d):
     return _key(_pairs(spark, d)[0])
 
@@ -186,7 +186,12 @@ def triple_index_multimap(spark, d):
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("parts"))
 
 
-both("entity_ids", "part", "select tag, name, cast(row_number() over (order by first, tag, name) as bigint) id from (select 'true_entity' tag, p_name name, min(p_partkey) first from part group by p_name)")
+@query("select tag, name, cast(row_number() over (order by first, tag, name) as bigint) id from (select 'true_entity' tag, p_name name, min(p_partkey) first from part group by p_name)")
+def entity_ids(spark, d):
+    names = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("first")).withColumn("tag", F.lit("true_entity"))
+    return S.numbered(names, ["first", "tag", "name"], "k").select("tag", "name", (F.col("k") + 1).cast("bigint").alias("id"))
+
+
 
 
 @query("select doc_id, toxic, case when k <= floor(n * 0.7::double) then 'train' when k <= floor(n * 0.8::double) then 'dev' else 'eval' end split from (select doc_id, toxic, row_number() over (partition by toxic order by md5(doc_id::varchar), doc_id) k, count(*) over (partition by toxic) n from labels)")
@@ -194,7 +199,13 @@ def stratified_split(spark, d):
     return S.stratified_split(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id")
 
 
-both("half_split", "events", "select event_id, case when k <= floor(n / 2.0) then 'test' else 'dev' end split from (select event_id, row_number() over (order by md5(cast(event_id as string)), event_id) k, count(*) over () n from events)")
+@query("select event_id, case when k <= floor(n / 2.0) then 'test' else 'dev' end split from (select event_id, row_number() over (order by md5(cast(event_id as string)), event_id) k, count(*) over () n from events)")
+def half_split(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.md5(F.col("event_id").cast("string")).alias("digest"))
+    half = F.lit(rows.count() // 2)
+    return S.numbered(rows, ["digest", "event_id"], "k").select("event_id", F.when(F.col("k") < half, "test").otherwise("dev").alias("split"))
+
+
 
 
 @query("select conv_id, unnest(string_split(r, ' ')) as label, (len(string_split(r, ' ')) > 1) multi from (select conv_id, string_agg(distinct role, ' ' order by role) r from conversations group by conv_id)")
@@ -217,7 +228,13 @@ def token_mask(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.transform(T.words(F.lower("text")), lambda x: F.when(x == "the", " head ").otherwise(x)), "|")).alias("masked"))
 
 
-both("schema_table", "part", "select head_type, tail_type, relation, cast(row_number() over (order by head_type, relation, tail_type) as bigint) id from (select distinct p_brand head_type, p_type relation, p_size tail_type from part) union all select 'None', null, 'None', 0")
+@query("select head_type, tail_type, relation, cast(row_number() over (order by head_type, relation, tail_type) as bigint) id from (select distinct p_brand head_type, p_type relation, p_size tail_type from part) union all select 'None', null, 'None', 0")
+def schema_table(spark, d):
+    kinds = table(spark, d, "part").select(F.col("p_brand").alias("head_type"), F.col("p_size").alias("tail_type"), F.col("p_type").alias("relation")).distinct()
+    ids = S.numbered(kinds, ["head_type", "relation", "tail_type"], "k").select("head_type", "tail_type", "relation", (F.col("k") + 1).cast("bigint").alias("id"))
+    return ids.unionByName(spark.createDataFrame([("None", None, "None", 0)], "head_type string, tail_type int, relation string, id bigint"))
+
+
 
 GOLD = "gold as (select l.doc_id, l.quality * 2 + l.toxic y, cast(d.n_chars % 4 as int) p from labels l join documents d on l.doc_id = d.doc_id)"
 CLASSES = "classes as (select 0 c union all select 1 union all select 2 union all select 3)"
@@ -346,9 +363,10 @@ def spouse_rule(spark, d):
     return G.spouses(line(1, "b"), line(2, "c"), line(3, "b").join(line(4, "c"), "child").select("b", "c").distinct())
 
 
-def _links(spark, d):
+def _links(spark, d, once=True):
     pages = table(spark, d, "pages").select(F.concat(F.lit("h:"), F.regexp_extract("url", "^https?://([^/]*)", 1)).alias("a"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("b"))
-    return pages.select("a", F.concat(F.lit("t:"), "b").alias("b")).distinct()
+    made = pages.select("a", F.concat(F.lit("t:"), "b").alias("b"))
+    return made.distinct() if once else made
 
 
 LINKS = "l as (select distinct 'h:' || regexp_extract(url, '^https?://([^/]*)', 1) a, 't:' || unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) b from pages), e as (select a, b from l union select b, a from l), dg as (select a, count(*) n from e group by a)"
@@ -382,7 +400,7 @@ def node_link_export(spark, d):
     links = _links(spark, d)
     rank = G.pagerank(links)
     nodes = rank.select(F.to_json(F.struct(F.col("node").alias("id"), (F.col("rank") * 30 + 10).alias("radius"))).alias("row"), F.lit("node").alias("kind"))
-    return nodes.unionByName(links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).select(F.to_json(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "weight")).alias("row"), F.lit("link").alias("kind")))
+    return nodes.unionByName(_links(spark, d, once=False).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).select(F.to_json(F.struct(F.col("a").alias("source"), F.col("b").alias("target"), "weight")).alias("row"), F.lit("link").alias("kind")))
 
 
 @query(f"select doc_id, array_to_string((list_transform({WORDS.format('lower(text)')}, lambda x: length(x)::int) || [0 for i in range(90)])[1:90], ',') ids, least(len({WORDS.format('lower(text)')}), 90)::bigint n from documents")

@@ -67,3 +67,67 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """tag, name; a name may hold further colons."""
     parts = F.split(F.regexp_replace("value", "\r$", ""), ":", 2)
     return spark.read.text(path).select(parts[0].alias("tag"), parts[1].alias("name"))
+
+
+def free_rows(spark: SparkSession, path: str) -> DataFrame:
+    """content, title, id of JSON lines (bare NaN read as ``none``) or, of any other file, of its lines, with ``none``."""
+    name = path.rstrip("/")
+    raw = spark.read.text(path)
+    if name.endswith((".json", ".jsonl")):
+        return raw.select(F.from_json(T.none_for_nan(F.col("value")), "content string, title string, id string").alias("r")).select("r.*")
+    if name.endswith(".txt"):
+        return raw.select(F.col("value").alias("content"), F.lit("none").alias("title"), F.lit("none").alias("id"))
+    raise ValueError(f"neither JSON lines nor text: {path}")
+
+
+def long_items(spark: SparkSession, items: list[str], longer_than: int = 20) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in items], "content string").where(F.length("content") > longer_than)
+
+
+def stopwords(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """The words of a one-column list in the order of its lines, the ellipsis after them; only the ``first`` lines if given.
+    A list is one file, so its lines are numbered by the reader's own order."""
+    numbered = spark.read.text(path).select(F.col("value").alias("word"), F.monotonically_increasing_id().alias("n"))
+    kept = numbered if first is None else numbered.orderBy("n").limit(first)
+    return kept.select("word").unionByName(spark.createDataFrame([("…",)], "word string"))
+
+
+def optional_list(spark: SparkSession, path: str, log: bool = False) -> DataFrame:
+    """The lines of a file, none if it isn't there; of a log the part after the last ``>>``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "word string")
+    value = F.col("value")
+    return spark.read.text(path).select((T.last_after(value) if log else value).alias("word"))
+
+
+def relation_table(spark: SparkSession, path: str) -> DataFrame:
+    """head_type, tail_type, relation, id of a schema file; id 0 is no relation. A schema is of tens of rows."""
+    raw = spark.read.schema(SCHEMA_ROWS).json(path).select(F.col("subject_type").alias("head_type"), F.col("object_type").alias("tail_type"), F.col("predicate").alias("relation"))
+    numbered = raw.withColumn("id", F.row_number().over(Window.orderBy("head_type", "relation", "tail_type")))
+    return spark.createDataFrame([("None", "None", None, 0)], "head_type string, tail_type string, relation string, id int").unionByName(numbered)
+
+
+def samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def codebook(spark: SparkSession, path: str) -> DataFrame:
+    """relation path, id and the path's leaf."""
+    raw = spark.read.option("sep", "\t").schema("relation string, id int").csv(path)
+    return raw.withColumn("leaf", T.path_leaf(F.col("relation")))
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of one JSON object; the key ``null`` is no relation."""
+    raw = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("key", "value"))
+    return raw.select(F.when(F.col("key") != "null", F.col("key")).alias("key"), "value")
+
+
+def batches(df: DataFrame, size: int = 64, seed: int | None = None) -> DataFrame:
+    """``df`` with the number of its batch within its partition and its place there: shuffled by hash for training, in the
+    rows' order otherwise."""
+    order = [F.xxhash64(F.lit(seed), *df.columns)] if seed is not None else [F.monotonically_increasing_id()]
+    rows = df.withColumn("part", F.spark_partition_id()).withColumn("_k", F.struct(*order))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("_k")) - 1
+    return rows.withColumn("_n", place).withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size).drop("_k", "_n")

@@ -53,3 +53,56 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in R.labels(spark, str(tmp_path / "l.tsv")).collect()) == [("a", 5), ("b", 3), ("b", 7)]
     (tmp_path / "v.txt").write_bytes(b"true_entity:a:b\r\ncandidate_entity:c\r\n")
     assert sorted(tuple(r) for r in R.vocabulary(spark, str(tmp_path / "v.txt")).collect()) == [("candidate_entity", "c"), ("true_entity", "a:b")]
+
+
+def test_longest_terms(spark):
+    from loomgraph.operators import supervision as S
+
+    words = "the red deer saw the red deer park and the red".split()
+    tokens = spark.createDataFrame([(1, 0, k, w) for k, w in enumerate(words)] + [(1, 1, 0, "red")], "doc_id bigint, sid bigint, pos bigint, tok string")
+    terms = spark.createDataFrame([("red", "c"), ("red deer", "b"), ("red deer park", "a"), ("deer saw the", "d")], "name string, tag string")
+    got = sorted((r.sid, r.pos, r.n, r.name, r.tag) for r in S.longest_terms(tokens, terms).collect())
+    assert got == [(0, 1, 2, "red deer", "b"), (0, 5, 3, "red deer park", "a"), (0, 10, 1, "red", "c"), (1, 0, 1, "red", "c")]
+
+
+def test_early_stopping_with_delta(spark):
+    from loomgraph.operators import metrics as M
+
+    scores = [5.0, 5.5, 5.9, 6.0, 5.0, 5.1, 9.0]
+    df = spark.createDataFrame([("a", k, s) for k, s in enumerate(scores)], "run string, epoch int, score double")
+    got = [(r.epoch, r.best, r.waited, r.stopped) for r in sorted(M.early_stopping(df, "run", "epoch", "score", patience=2, delta=1.0).collect(), key=lambda r: r.epoch)]
+    assert got == [(0, 5.0, 0, False), (1, 5.0, 1, False), (2, 5.0, 2, True), (3, 6.0, 0, True), (4, 6.0, 1, True), (5, 6.0, 2, True), (6, 9.0, 0, True)]
+    best = M.best_epoch(df, "run", "epoch", "score").first()
+    assert (best.epoch, best.score) == (6, 9.0)
+
+
+def test_metrics_of_absent_classes(spark):
+    from loomgraph.operators import metrics as M
+
+    rows = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (2, 1)], "y_true int, y_pred int")
+    counts = M.class_counts(rows, spark.range(4).withColumnRenamed("id", "c"))
+    assert sorted(tuple(r) for r in counts.collect()) == [(0, 1, 2, 1), (1, 2, 2, 1), (2, 1, 0, 0), (3, 0, 0, 0)]
+    assert M.macro(counts).first().macro_p == 0.25
+    assert M.macro(counts, without=0).first().macro_p == round(0.5 / 3, 6)
+
+
+def test_model_is_read_back(spark):
+    from loomgraph.operators import relation_model as R
+    from loomgraph.sinks.workspace import new_path
+
+    rows = spark.createDataFrame([(f"the {w} word", f"e{k}", "x", "place", "place", y) for k in range(20) for w, y in (("blue", 0), ("green", 1))], "text string, e1 string, e2 string, tag1 string, tag2 string, label int")
+    samples = rows.withColumn("words", R.marked_words(rows.text, rows.e1, rows.e2))
+    model = R.load(R.save(R.fit(samples), new_path(spark, "model")))
+    assert R.predict(model, samples).where("label <> y_pred").count() == 0
+    book = spark.createDataFrame([(1, "is")], "y_pred int, r string")
+    assert R.scored_triples(R.predict(model, samples), book).count() == 20
+    moved = R.fit(samples, start=model)
+    assert moved.stages[1].uid == model.stages[1].uid
+
+
+def test_numbers_are_gapless(spark):
+    from loomgraph.operators import supervision as S
+
+    rows = spark.createDataFrame([(k * 7919 % 503,) for k in range(503)], "v bigint").repartition(5)
+    assert sorted((r.v, r.n) for r in S.numbered(rows, ["v"]).collect()) == [(k, k) for k in range(503)]
+    assert S.numbered(rows.limit(0), ["v"]).count() == 0

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import catalogue
+from loomgraph.plans import catalogue, formats  # noqa: F401  (formats registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
