@@ -29,6 +29,8 @@ from .common import BoundedCache, arrow_pass, held, materialise, table
 
 #: Labelled rows that the lexicon and the weights are fitted on, chosen by hash; toxic groups that a term is in at least.
 SAMPLE, LEAST_GROUPS = 12_000, 5
+#: Likelihood ratio against chance, of which one word in 100,000 has as much.
+SURPRISE = 20.0
 #: Words on either side that make a hit's context; words on either side looked at for signs of quotation.
 WINDOW, NEAR = 25, 3
 CACHE_LIMIT = 300_000
@@ -168,7 +170,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Words of far more groups of toxic documents than others', by a z-score of the log odds."""
+    """Words of far more groups of toxic documents than others', by log odds and likelihood ratio."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 1)
     rows = sample.select("toxic", words.alias("ws")).where(F.size("ws") > 0)
     # four words in a row are rarely common to documents that aren't copies
@@ -181,9 +183,11 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     once = rows.select("toxic", "grp", F.explode("ws").alias("w")).distinct()
     counts = once.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (n[1] - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (n[0] - F.col("q") + 0.5))
-    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    share, p, q = n[1] / (n[0] + n[1]), F.col("p"), F.col("q")
+    part = lambda k, expected: F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
+    surprise = 2 * (part(p, (p + q) * share) + part(q, (p + q) * (1 - share)))
     # in five toxic groups at least; the terms are as many as the sample's words bear out
-    chosen = counts.where((F.col("p") >= LEAST_GROUPS) & (odds > 2) & (odds / spread > 4))
+    chosen = counts.where((p >= LEAST_GROUPS) & (odds > 2) & (surprise > SURPRISE))
     return sorted(r["w"] for r in chosen.collect())
 
 
