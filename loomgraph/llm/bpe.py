@@ -36,6 +36,8 @@ from .common import BoundedCache, arrow_pass, held, table
 LONG_PARTS = 64
 #: Entries that a Python worker keeps of pre-tokens it has seen.
 CACHE_LIMIT = 400_000
+#: Bytes of texts whose pre-tokens are held at once; as objects of their own they take some twenty times as much.
+PASS_BYTES = 1_000_000
 #: Texts without later code points are split by an expression over these alone, which is faster.
 NEAR_END = 0x250
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -325,7 +327,7 @@ def encode_documents(docs: DataFrame, *, spec: str | None = None, id_col: str =
         decoded = [codec.decode(x) for x in ids]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return arrow_pass(_prepared(docs, id_col, text_col), run, "doc_id bigint, n_tokens bigint, ids binary, decoded string", 2048)
+    return arrow_pass(_prepared(docs, id_col, text_col), run, "doc_id bigint, n_tokens bigint, ids binary, decoded string", 2048, PASS_BYTES)
 
 
 def count_tokens(docs: DataFrame, *, spec: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,7 +341,7 @@ def count_tokens(docs: DataFrame, *, spec: str | None = None, limit: int = 2048,
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     texts = _prepared(docs, id_col, text_col).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
-    return arrow_pass(texts, run, "doc_id bigint, n_bytes bigint, n_tokens bigint", 2048).withColumn("over_limit", F.col("n_tokens") > limit)
+    return arrow_pass(texts, run, "doc_id bigint, n_bytes bigint, n_tokens bigint", 2048, PASS_BYTES).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def count_query(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -17,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of variable-length columns handled at once inside an Arrow pass (a larger row is alone); they bound what
 #: a Python worker holds besides the batch itself.
 SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+#: What an entry of a cache takes besides its key's characters.
+ENTRY_BYTES = 150
 _HELD: dict[str, object] = {}
+_CACHES: list[weakref.ref] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,15 +52,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at = to
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """Empty this worker's caches at the end of a task: idle workers wait with their model only, as several wait while few run."""
+    _CACHES[:] = [known for known in _CACHES if known() is not None]
+    for known in _CACHES:
+        if (cache := known()) is not None:
+            cache.reset()
+    _give_back()
+
+
 def held(name: str, build: Callable):
     """What ``build`` makes, kept in this worker under ``name``. A worker keeps one model at a time, whichever operator's;
     the memory of the one before goes back to the system."""
     if name not in _HELD:
         if _HELD:
             _HELD.clear()
-            gc.collect()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
         _HELD[name] = build()
     return _HELD[name]
 
@@ -66,14 +84,15 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to slices of Arrow batches; only the columns of ``df`` reach Python."""
 
     def run(batches):
-        for part in slices(batches, rows):
+        for part in slices(batches, rows, size):
             out = fn(part)
             if out is not None:
                 yield out
+        forget()
 
     return df.mapInArrow(run, schema)
 
@@ -123,12 +142,18 @@ def materialise(df: DataFrame, *, keep: bool = False) -> DataFrame:
 
 
 class BoundedCache(dict):
-    """A dict that computes what is missing; emptied back to its fixed part beyond ``limit`` entries or ``size`` bytes of
-    keys and values, by their lengths."""
+    """A dict that computes what is missing; emptied back to its fixed part beyond ``limit`` entries or ``size`` bytes, by
+    the keys' lengths and ``ENTRY_BYTES`` an entry for the objects and the dict's own slots."""
 
-    def __init__(self, compute: Callable, limit: int, fixed: dict | None = None, size: int = 24_000_000):
+    def __init__(self, compute: Callable, limit: int, fixed: dict | None = None, size: int = 32_000_000):
         super().__init__(fixed or {})
         self._compute, self._limit, self._fixed, self._size, self._used = compute, limit, fixed or {}, size, 0
+        _CACHES.append(weakref.ref(self))
+
+    def reset(self) -> None:
+        self.clear()
+        self.update(self._fixed)
+        self._used = 0
 
     def __missing__(self, key):
         value = self._compute(key)
@@ -138,10 +163,9 @@ class BoundedCache(dict):
 
     def make_room(self, n: int, size: int = 0) -> bool:
         """Whether entries had to go for ``n`` more of ``size`` bytes."""
+        size += n * ENTRY_BYTES
         full = len(self) + n > self._limit + len(self._fixed) or self._used + size > self._size
         if full:
-            self.clear()
-            self.update(self._fixed)
-            self._used = 0
+            self.reset()
         self._used += size
         return full

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, drop, materialise, scratch, shared_dir, slices, table
+from .common import BoundedCache, as_bytes, drop, forget, materialise, scratch, shared_dir, slices, table
 
 #: Sets of a list whose blocks are paired: of segments, and of differences, whose pairs are nearly all refuted in place.
 SMALL_LIST, SMALL_DIFFERENCE_LIST = 6, 64
@@ -57,7 +57,7 @@ SIZE_BITS = 28
 #: Set ids that a task remembers, so as to index copies once.
 SEEN_LIMIT = 200_000
 #: Edges that a task joins up at a time.
-FOREST_EDGES = 500_000
+FOREST_EDGES = 150_000
 #: 64-bit words of the Bloom filter that preselects rows for the second reading; its size is fixed.
 BLOOM_WORDS = 1 << 17
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -304,6 +304,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int, seed: int) -> DataFr
             spread = mixed(np.arange(n, dtype=np.uint64) + np.uint64(len(seen) << 20)).view(np.int64)
             columns = (np.concatenate([spread, k]), np.concatenate([np.array(sets, np.int64), *owners]), np.concatenate([np.array(checks, np.int64), *places]))
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([ids, pa.nulls(k.size, pa.int64())])], ["key", "set_id", "place", "doc_id"])
+        forget()
 
     return docs.mapInArrow(run, _INDEX)
 
@@ -382,6 +383,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, seed: int, name: str)
             columns = list(zip(*made.values(), strict=True)) or [[], [], []]
             kinds = (pa.binary(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), *map(pa.array, columns, kinds)], ["set_id", "shingles", "n", "sketch"])
+        forget()
 
     spark = docs.sparkSession
     keyed = docs.select("text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))

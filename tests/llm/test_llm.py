@@ -553,6 +553,18 @@ def test_slices_are_bounded_by_bytes():
     assert [b.column(0).to_pylist() for b in slices(iter([batch.slice(2)]), 1, 1000)] == [[2], [3], [4], [5]]
 
 
+def test_caches_are_bounded_and_emptied_at_the_end_of_a_task():
+    from loomgraph.llm import common
+
+    cache = common.BoundedCache(len, 10**9, {"fixed": 5}, size=100 * (common.ENTRY_BYTES + 4))
+    for k in range(1000):
+        assert cache[f"{k:04d}"] == 4
+        assert len(cache) <= 101
+    common.forget()
+    assert dict(cache) == {"fixed": 5}
+    assert cache["0001"] == 4
+
+
 def test_pipeline_equals_a_plain_run(spark, tmp_path):
     import corpus_pipeline
     import public_tokenizers
