@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes of variable-length columns handled at once inside an Arrow pass (a larger row is alone); they bound what
 #: a Python worker holds besides the batch itself.
 SLICE_ROWS, SLICE_BYTES = 1024, 4_000_000
+#: Bytes of an Arrow batch between the JVM and Python, as Spark bounds only its rows by default; a larger row is alone.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: What an entry of a cache takes besides its key's characters.
 ENTRY_BYTES = 150
 _HELD: dict[str, object] = {}
@@ -84,6 +86,13 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, in a session that sets no bound of its own."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` to slices of Arrow batches; only the columns of ``df`` reach Python."""
 
@@ -94,7 +103,7 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 yield out
         forget()
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

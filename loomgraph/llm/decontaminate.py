@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, held, slices, table
+from .common import arrow_pass, as_bytes, held, in_arrow, slices, table
 
 WIDTH = 10
 #: Bytes of distinct windows in one automaton; a trie node takes about 40 bytes of memory.
@@ -153,7 +153,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     blocks, at = -(-total // block_bytes) or 1, docs.columns.index(text_col)
     for block in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == block)
-        docs = docs.mapInArrow(_keeper(docs, [(r["w"], []) for r in part.collect()], at), docs.schema)
+        docs = in_arrow(docs, _keeper(docs, [(r["w"], []) for r in part.collect()], at), docs.schema)
     return docs
 
 

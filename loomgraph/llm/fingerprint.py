@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
+from .common import in_arrow, materialise, slices, table
 
 BUCKETS = 256
 #: Positions of the second and third byte of a triplet after its first.
@@ -109,7 +109,8 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(digest((t or "").encode())) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string")
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(chosen, run, "doc_id bigint, fingerprint string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +141,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if held is not None:
             yield _batch([], [(part, True, held[0], held[1])])
 
-    found = materialise(dealt.mapInArrow(run, f"{_OUT_SQL}, {_EDGE_SQL}"))
+    found = materialise(in_arrow(dealt, run, f"{_OUT_SQL}, {_EDGE_SQL}"))
     edges = found.where("part is not null").select("part", "is_last", F.col("edge_id").alias("doc_id"), "text")
     # one row a partition
     firsts = edges.where("not is_last").select("part", F.col("text").alias("next_text"))
@@ -153,7 +154,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield _batch([_row(i, t, digest(t.encode()), n, digest(n.encode())) for i, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)], []).select([c for c, _ in _OUT])
 
     columns = [c for c, _ in _OUT]
-    return found.where("part is null").select(*columns).unionByName(met.mapInArrow(close, _OUT_SQL))
+    return found.where("part is null").select(*columns).unionByName(in_arrow(met, close, _OUT_SQL))
 
 
 def _row(doc_id: int, text: str, codes: bytes, following: str, next_codes: bytes) -> tuple:

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, as_bytes, drop, forget, materialise, scratch, shared_dir, slices, table
+from .common import BoundedCache, as_bytes, drop, forget, in_arrow, materialise, scratch, shared_dir, slices, table
 
 #: Sets of a list whose blocks are paired: of segments, and of differences, whose pairs are nearly all refuted in place.
 SMALL_LIST, SMALL_DIFFERENCE_LIST = 6, 64
@@ -306,7 +306,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int, seed: int) -> DataFr
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([ids, pa.nulls(k.size, pa.int64())])], ["key", "set_id", "place", "doc_id"])
         forget()
 
-    return docs.mapInArrow(run, _INDEX)
+    return in_arrow(docs, run, _INDEX)
 
 
 #: kind 0: a document (a: doc_id, b: set, c: check value and size); 1: a pair of sets; 2: a set (b) in a long list (a), c: its place.
@@ -387,7 +387,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, seed: int, name: str)
 
     spark = docs.sparkSession
     keyed = docs.select("text", F.xxhash64("doc_id").alias("h1"), F.xxhash64("doc_id", F.lit(1)).alias("h2"))
-    read = keyed.mapInArrow(run, "set_id bigint, shingles binary, n bigint, sketch binary")
+    read = in_arrow(keyed, run, "set_id bigint, shingles binary, n bigint, sketch binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     read.repartition(parts, "set_id").write.bucketBy(parts, "set_id").sortBy("set_id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
@@ -415,7 +415,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = [_linked_sets(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), num, den) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return _moved(pairs, sets).mapInArrow(run, "x bigint, y bigint").distinct()
+    return in_arrow(_moved(pairs, sets), run, "x bigint, y bigint").distinct()
 
 
 #: What x differs by from its group's hub: sorted shingles added and removed; n: the size of x. hub: the group's key.
@@ -435,7 +435,7 @@ def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 removed.append(np.setdiff1d(b, a, True).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(5), pa.array(n, pa.int64()), pa.array(added, pa.binary()), pa.array(removed, pa.binary())], ["x", "hub", "root", "n", "added", "removed"])
 
-    return _moved(pairs, sets, "hub", "root").mapInArrow(run, _DIFFERENCES)
+    return in_arrow(_moved(pairs, sets, "hub", "root"), run, _DIFFERENCES)
 
 
 def _usual(found: DataFrame) -> DataFrame:

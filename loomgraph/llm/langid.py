@@ -42,6 +42,8 @@ UNKNOWN, GAP = 0, 1
 SOFTNESS = 25.0
 #: A text needing more phrases a symbol than this times its language's own held-out rate is like no learned language.
 STRANGE = 1.6
+#: Bytes of texts parsed at once: the parse holds some forty bytes for each.
+PASS_BYTES = 2_000_000
 
 
 @cache
@@ -264,7 +266,7 @@ def identify(docs: DataFrame, samples: dict[str, str], *, id_col: str = "doc_id"
         return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"])
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return arrow_pass(chosen, run, "doc_id bigint, held_out boolean, lang_pred string, score double, phrase_rate double", 2048)
+    return arrow_pass(chosen, run, "doc_id bigint, held_out boolean, lang_pred string, score double, phrase_rate double", 2048, PASS_BYTES)
 
 
 def keep_known(docs: DataFrame, samples: dict[str, str], *, text_col: str = "text", strange: float = STRANGE) -> DataFrame:
@@ -277,7 +279,7 @@ def keep_known(docs: DataFrame, samples: dict[str, str], *, text_col: str = "tex
         found = held(name, lambda: sent.value).predict(part.column(at).to_pylist())
         return part.filter(pa.array([lang != "und" and least <= strange * usual[lang] for lang, _, _, least in found], pa.bool_()))
 
-    return arrow_pass(docs, run, docs.schema, 2048)
+    return arrow_pass(docs, run, docs.schema, 2048, PASS_BYTES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -553,6 +553,22 @@ def test_slices_are_bounded_by_bytes():
     assert [b.column(0).to_pylist() for b in slices(iter([batch.slice(2)]), 1, 1000)] == [[2], [3], [4], [5]]
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from loomgraph.llm.common import in_arrow
+
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id as string), 1000) text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    found = in_arrow(texts, sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in found) == 6000
+    assert max(r["bytes"] for r in found) < 4_400_000
+
+
 def test_caches_are_bounded_and_emptied_at_the_end_of_a_task():
     from loomgraph.llm import common
 
