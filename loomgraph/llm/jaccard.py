@@ -60,6 +60,8 @@ SEEN_LIMIT = 200_000
 FOREST_EDGES = 150_000
 #: 64-bit words of the Bloom filter that preselects rows for the second reading; its size is fixed.
 BLOOM_WORDS = 1 << 17
+#: So many ids of documents that go are broadcast at most; beyond, both sides of that join are shuffled.
+BROADCAST_IDS = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT, _HALF = np.uint64(33), np.uint64(32)
@@ -712,6 +714,8 @@ def one_of_each(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] =
     document with an empty set. Rows that repeat the kept doc_id are told apart by nothing and all stay."""
     classes = join(docs, width=width, threshold=threshold, id_col=id_col)
     gone = classes.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.gone"), "left_anti")
 
 

@@ -463,7 +463,9 @@ def test_blocks_are_skipped_only_where_nothing_can_link():
     assert skipped > 20
 
 
-def test_one_of_each_with_clashing_columns(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_one_of_each_with_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
     rows = [(1, "a b c d e f g", 5, 1), (2, "a b c d e f g", 5, 2), (3, "x", None, 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone int, _gone int")
     assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 3]
