@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators."""
 
-from . import bpe, chunking, decontaminate, fingerprint, hilbert, jaccard, langid, pii, toxicity
+from . import bpe, chunking, contentsort, decontaminate, divergence, fingerprint, hilbert, jaccard, langid, pii, toxicity, vectorcodes
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.query,
@@ -13,7 +13,13 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_hilbert_sharding": hilbert.query,
     "op10_bpe_codec": bpe.encode_query,
+    "op11_source_divergence": divergence.query,
+    "op12_content_sort_dedup": contentsort.query,
+    "op13_vector_codes": vectorcodes.query,
 }
 ORACLES = {
     "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
+    "op12_content_sort_dedup": contentsort.ORACLE_SQL,
+    "op13_vector_codes": vectorcodes.ORACLE_SQL,
 }
