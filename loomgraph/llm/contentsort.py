@@ -1,16 +1,17 @@
 """Exact dedup by content sort, with DataFrame functions only.
 
-Texts are normalised (A-Z lower-cased) and ordered by content: the first characters, then the digest. Splitters are
-sampled keys, chosen so that buckets hold about equal bytes; a key ends with the identifier and a row number, so a group of
-equal texts is cut like any other run of keys, however large it is. Each bucket goes to one task, which sorts it (spilling to
-disk), so equal texts are adjacent; each row's whole text is compared with its neighbour's, and texts never move again.
+Texts are normalised (A-Z lower-cased) and range-partitioned by keys: the first characters' bytes, the digest, the identifier and a row
+number. Splitters are sampled keys, chosen so that buckets hold about equal bytes; as a key ends with the row, a group
+of equal texts is cut like any other run of keys, however large it is. Each bucket goes to one task, which sorts it by the whole
+normalised texts (spilling to disk), so equal texts are adjacent; the window over a text's rows compares each whole text with its
+neighbour's and tells the row that stays and the rows' number. Texts move once.
 
 A group that lies in several buckets must hold a splitter's digest. Those digests, no more than splitters, are known before the
-shuffle; the pieces of their groups (one row a piece) are summed up and broadcast.
+shuffle; the pieces of their groups (one row a piece, matched by SHA-256) are summed up and broadcast.
 
 Defined results: a null text counts as empty; of equal texts the row of the least (or largest) identifier stays, a null
-identifier only where there is no other, and of rows that repeat one identifier the first read; two different texts of one
-SHA-256 stop the job with an error instead of being taken for equal; further columns aren't read; an empty table gives no rows.
+identifier only where there is no other, and of rows that repeat one identifier the first read; further columns aren't read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,12 +76,8 @@ def dedup(docs: DataFrame, *, keep: str = "least", id_col: str = "doc_id", text_
     cut_digests = sorted({key[8 * HEAD : 8 * HEAD + 64] for key in cuts})
 
     dealt = keyed(read).withColumn("bucket", bucket_of(F.col("key"), cuts)).drop("key", "doc_id", "row").repartitionById(len(cuts) + 1, "bucket")
-    piece = Window.partitionBy("bucket", "text_sha256")
-    adjacent = piece.orderBy("at")
-    before = F.lag("norm").over(adjacent)
-    checked = F.when(before.isNull() | (before == F.col("norm")), 1).otherwise(F.raise_error(F.lit("two texts of one SHA-256")).cast("int"))
-    sorted_rows = dealt.withColumn("checked", checked).withColumn("stays", F.first("at").over(adjacent)).withColumn("n", F.sum("checked").over(piece))
-    held = materialise(sorted_rows.select("at", "stays", "n", "bucket", "text_sha256"))
+    piece = Window.partitionBy("bucket", "norm")
+    held = materialise(dealt.withColumn("stays", F.first("at").over(piece.orderBy("at"))).withColumn("n", F.count(F.lit(1)).over(piece)).select("at", "stays", "n", "text_sha256"))
 
     first_rows = held.where("at.row = stays.row").join(F.broadcast(spark.createDataFrame([(d,) for d in cut_digests], "text_sha256 string")), "text_sha256", "left_semi")
     whole = first_rows.groupBy("text_sha256").agg(F.min("stays").alias("_stays"), F.sum("n").alias("_n"))  # no more rows than splitters
