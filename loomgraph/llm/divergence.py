@@ -11,8 +11,8 @@ histogram of levels. A term in both changes the sum by both of these and by -2 m
 inverted index, a term's postings by source, emits that for pairs of postings where it isn't zero. Partial sums are formed
 before each shuffle. Every source of a language meets every other in the result itself, a term's postings no more than that.
 
-Counting: whole texts, by tasks that hold a bounded dictionary and emit a row for each (language, source, term) whenever it is
-full; tasks' rows are summed up with partial sums, so a source of a third of all rows is no row's and no task's burden.
+Counting: whole texts, by tasks that hold bounded dictionaries and emit a row for each (language, source, term) whenever they are
+full, so a source of a third of all rows is no row's and no task's burden.
 Terms are ranked by a window that keeps a group's first ``top`` rows in each task before anything moves.
 
 All arithmetic is exact: whole numbers, the quotient by decimals of 38 digits.
@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, forget, in_arrow, materialise, slices, table
 
 SCALE, PRIOR, LEAST_DOCS, TOP = 1_000_000_000, 5, 30, 50
-#: Entries and characters of a task's dictionary before it is emitted and emptied.
-ENTRIES, ENTRY_CHARS = 200_000, 8_000_000
+#: Terms in a task's dictionaries, and bytes of texts, before they are emitted and emptied.
+ENTRIES, ENTRY_CHARS = 400_000, 64_000_000
 #: Bytes that are no part of a term, by the separator; A-Z by a-z.
 _LETTERS = bytes(b if b > 0x7F else b | 32 if chr(b).isalpha() else 32 for b in range(256))
-_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
-_SCHEMA_SQL = "lang string, source string, term string, n bigint, docs bigint"
 
 
 def pieces(data: bytes, most: int = 1_000_000) -> Iterator[list[bytes]]:
@@ -59,27 +58,32 @@ def counted(docs: DataFrame, entries: int = ENTRIES, chars: int = ENTRY_CHARS) -
 
     def run(batches):
         found: dict[tuple, tuple[Counter, Counter]] = {}
-        held = size = 0
+        sizes: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            flat = [(lang, source, None if t is None else t.decode(), n, df[t]) for (lang, source), (tf, df) in found.items() for t, n in tf.items()]
+            groups, per_group = list(found), [[None, *tf] for tf, _ in found.values()]
+            of = pa.array(np.repeat(np.arange(len(groups)), [len(g) for g in per_group]))
+            names = [pa.array([g[k] for g in groups], pa.string()).take(of) for k in (0, 1)]
+            words = pa.array([t for g in per_group for t in g], pa.binary()).cast(pa.string())
+            n = pa.array([v for tf, _ in found.values() for v in (0, *tf.values())], pa.int64())
+            docs = pa.array([v for g, (tf, df) in found.items() for v in (sizes[g], *map(df.__getitem__, tf))], pa.int64())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+            sizes.clear()
+            return pa.RecordBatch.from_arrays([*names, words, n, docs], ["lang", "source", "term", "n", "docs"])
 
+        held = size = 0
         for part in slices(batches):
             for data, lang, source in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 group = (lang or "", source or "")
                 tf, df = found[group] if group in found else found.setdefault(group, (Counter(), Counter()))
-                own = Counter()
+                before, own = len(tf), set()
                 for piece in pieces(data or b""):
+                    tf.update(piece)
                     own.update(piece)
-                fresh = own.keys() - tf.keys()
-                held += len(fresh)
-                size += sum(map(len, fresh))
-                tf.update(own)
-                df.update(own.keys())
-                tf[None] += 0
-                df[None] += 1
+                df.update(own)
+                sizes[group] += 1
+                held += len(tf) - before
+                size += len(data or b"")
                 if held >= entries or size >= chars:
                     yield rows()
                     held = size = 0
@@ -87,20 +91,22 @@ def counted(docs: DataFrame, entries: int = ENTRIES, chars: int = ENTRY_CHARS) -
             yield rows()
         forget()
 
-    return in_arrow(docs.select(*(F.col(c).cast("string") for c in ("text", "lang", "source"))), run, _SCHEMA_SQL)
+    return in_arrow(docs.select(*(F.col(c).cast("string") for c in ("text", "lang", "source"))), run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank."""
     named = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    counts = materialise(counted(named).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    by_lang = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs")).where(F.col("lang_docs") >= least_docs).drop("lang_docs")
-    kept = materialise(counts.where("term is not null").drop("docs").join(by_lang, ["lang", "term"]))
+    # dealt by term alone: a term's rows are as many as tasks and sources at most, and no term has many more than other common ones
+    counts = counted(named).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    told = counts.withColumn("lang_n", F.sum("n").over(of_term)).withColumn("lang_docs", F.sum("docs").over(of_term)).withColumn("first", F.row_number().over(of_term.orderBy("source")) == 1)
+    index = materialise(told.where(F.col("term").isNull() | (F.col("lang_docs") >= least_docs)).drop("docs", "lang_docs"))
+    kept, groups = index.where("term is not null"), index.where("term is null").select("lang", "source")
 
     level = lambda n, total: F.expr(f"1 + (cast({SCALE} as decimal(38,0)) * ({n} + {PRIOR})) div ({total} + {PRIOR} * v)")
-    groups = counts.where("term is null").select("lang", "source")
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = kept.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    langs = kept.where("first").groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     sized = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "v", "lang_total"])
     sized = materialise(sized.withColumn("z", F.when(F.col("v") > 0, level("0", "total")).otherwise(F.lit(0)).cast("bigint")))
 
@@ -111,7 +117,8 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = TOP, text
     ranked_terms = above.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
     pairs = _pair_values(sized, postings)
-    both_ways = pairs.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value").unionByName(pairs.select("lang", F.col("b").alias("source"), F.lit("pair").alias("part"), F.col("a").alias("item"), "value"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
+    both_ways = pairs.select("lang", "value", ends.alias("e")).select("lang", "e.source", F.lit("pair").alias("part"), "e.item", "value")
     return both_ways.withColumn("rank", F.row_number().over(place)).unionByName(ranked_terms)
 
 
