@@ -417,7 +417,7 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             keep = [_linked_sets(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), num, den) for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return in_arrow(_moved(pairs, sets), run, "x bigint, y bigint").distinct()
+    return in_arrow(_moved(pairs, sets), run, "x bigint, y bigint")
 
 
 #: What x differs by from its group's hub: sorted shingles added and removed; n: the size of x. hub: the group's key.
@@ -499,17 +499,17 @@ def _derived(told: DataFrame) -> DataFrame:
     """Links (x, y) of sets with those of the least excess in their groups; they connect all that need no comparison."""
     groups = told.where("kind = 0").select("hub", "x", F.col("place").alias("excess"))
     least = groups.groupBy("hub").agg(F.min_by("x", F.struct("excess", "x")).alias("y"), F.min("excess").alias("low"))
-    return groups.join(least, "hub").where("x <> y and excess + low <= 0").select("x", "y").distinct()
+    return groups.join(least, "hub").where("x <> y and excess + low <= 0").select("x", "y")
 
 
-#: Beyond so many blocks of a hub all count as able to have a partner: more lists are read, none is lost.
+#: Beyond so many blocks of a hub all count as able to have a partner, and no more are held: more lists are read, none is lost.
 BLOCKS = 4096
 
 
 def able_blocks(places: np.ndarray, several: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which blocks (size, added, removed) of one hub may hold a set with a partner without a common added shingle, not
     both of little excess."""
-    if places.size > BLOCKS or (places < 0).any():
+    if (places < 0).any():
         return np.ones(places.size, bool)
     n, a, r = places >> 40, places >> 20 & (1 << 20) - 1, places & (1 << 20) - 1
     out = np.zeros(places.size, bool)
@@ -525,18 +525,31 @@ def _able(found: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, place) of the blocks of removed shingles that are listed."""
 
     def run(batches):
-        for part in batches:
-            hubs, places = [], []
-            for hub, blocks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                own = np.array([b["place"] for b in blocks], np.int64)
-                kept = own[able_blocks(own, np.array([b["several"] for b in blocks]), num, den)]
-                hubs.append(np.full(kept.size, hub))
-                places.append(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for v in (hubs, places)], ["hub", "place"])
+        held: list[tuple[int, bool]] = []  # the blocks of the hub that is being read
+        at, many = None, False
 
+        def able():
+            own = np.array([place for place, _ in held], np.int64)
+            kept = own if many else own[able_blocks(own, np.array([several for _, several in held], bool), num, den)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(kept.size, at, np.int64)), pa.array(kept)], ["hub", "place"])
+
+        for batch in batches:
+            for hub, place, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hub != at:
+                    if held:
+                        yield able()
+                    at, many = hub, False
+                held.append((place, several))
+                if len(held) > BLOCKS:
+                    many = True
+                    yield able()
+        if held:
+            yield able()
+
+    parts = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = found.where("kind = 2").groupBy("hub", "place").agg((F.min("x") != F.max("x")).alias("several"))
-    # a hub's blocks are as many as its sets have different numbers, not as the sets
-    return blocks.groupBy("hub").agg(F.collect_list(F.struct("place", "several")).alias("blocks")).mapInArrow(run, "hub bigint, place bigint")
+    return blocks.repartition(parts, "hub").sortWithinPartitions("hub").mapInArrow(run, "hub bigint, place bigint")
 
 
 def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
@@ -566,9 +579,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("x", "y", "sx", "sy", "nx", "ny").mapInArrow(run, "x bigint, y bigint")
 
 
-def forest(edges: DataFrame) -> DataFrame:
+def forest(edges: DataFrame, roots: bool = False) -> DataFrame:
     """Edges (x, y) that connect what ``edges`` do: for ``FOREST_EDGES`` of a task at a time, each node with the least one
-    that they reach."""
+    that they reach; with ``roots`` that one with itself, too."""
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -583,7 +596,8 @@ def forest(edges: DataFrame) -> DataFrame:
             rows = [(v, top(v)) for v in parent]
             x, y = np.array(rows, np.int64).reshape(-1, 2).T
             parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["x", "y"])
+            kept = np.ones(x.size, bool) if roots else x != y
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]), pa.array(y[kept])], ["x", "y"])
 
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -600,10 +614,15 @@ def forest(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of ``edges`` (x, y): the least node that links reach. Each task first joins what its own
-    edges connect; then large-star and small-star steps alternate until every node has one edge, to a root. Every round is
-    written, and each needs only minima and joins."""
-    now = materialise(forest(edges).distinct())
+    edges connect; what is left, if it is no more than a task joins up at a time, is joined by one, else large-star and
+    small-star steps alternate until every node has one edge, to a root. Every round is written, and each needs only minima and
+    joins."""
+    now = materialise(forest(edges))
+    if now.count() > FOREST_EDGES:
+        now = materialise(now.distinct())
     while True:
+        if now.count() <= FOREST_EDGES:
+            return forest(now.coalesce(1), roots=True).select(F.col("x").alias("node"), F.col("y").alias("root"))
         # done if every node is the lower end only, or the upper end of one edge only
         ends = now.select(F.col("x").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(now.select(F.col("y").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up + low > 1").isEmpty():
@@ -646,23 +665,22 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
     sets = _sets(docs, first.join(nodes, "set_id", "left_semi"), width, seed, name)
     # first each set with the one that it shares most lists with
     near = materialise(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")))
-    links = materialise(_links(_possible(near, sets, num, den), sets, num, den))
-    roots = materialise(components(links))
+    roots = materialise(components(_links(materialise(_possible(near, sets, num, den)), sets, num, den)))
     left, merged = close.join(near, ["x", "y"], "left_anti").distinct(), True
     while True:
         # what small lists propose and what hubs tell of long ones, but for pairs that are in one component already
-        apart = _apart(left, roots)
         found = materialise(_posted(materialise(_differences(_with_hubs(members, roots, merged), sets)), num, den))
         lists = materialise(_difference_lists(found, num, den))
         proposed = lists.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"))
-        rest = materialise(_possible(apart.unionByName(_apart(proposed, roots)).distinct(), sets, num, den))
+        apart = _apart(proposed if left is None else left.unionByName(proposed), roots).distinct()
+        rest = materialise(_possible(apart, sets, num, den))
         links = roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_derived(found)).unionByName(_links(rest, sets, num, den))
         roots = materialise(components(links))
         longer = lists.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("x"))
         if longer.isEmpty():
             return _labelled(rows, first, roots)
         members = materialise(longer.join(longer.groupBy("x").agg(F.count(F.lit(1)).alias("lists")), "x"))
-        left, merged = left.limit(0), False
+        left, merged = None, False
 
 
 def _rare_lists(found: DataFrame) -> DataFrame:
