@@ -10,7 +10,7 @@ task. The first occurrence, in ascending doc_id, is the one that stays; runs of
 of less than ``least`` bytes are left alone. Only a document's own chunks are brought together, never a chunk's documents.
 
 Defined results: null and empty texts have no chunks and no spans; a null doc_id comes before all others; repeats inside
-one text count like those across texts; of rows with one doc_id any may be the first; other columns are not read.
+one text count like those across texts; of rows with one doc_id the one that is read first is the first; other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -123,18 +124,20 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-_WRITTEN: list[list[str]] = []
+#: The tables of the ``scratch`` that this thread is in, if it is in one.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables that ``materialise`` writes inside are deleted at the end, but for those that ``keep`` has been asked for."""
+    """Tables that this thread's ``materialise`` writes inside are deleted at the end, but for those that ``keep`` has been asked
+    for; other threads' tables are their own."""
     paths: list[str] = []
-    _WRITTEN.append(paths)
+    token = _WRITTEN.set(paths)
     try:
         yield
     finally:
-        _WRITTEN.remove(paths)
+        _WRITTEN.reset(token)
         for path in paths:
             drop(spark, path)
 
@@ -144,8 +147,8 @@ def materialise(df: DataFrame, *, keep: bool = False) -> DataFrame:
     Inside ``scratch`` the table goes at its end, unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
-    if _WRITTEN and not keep:
-        _WRITTEN[-1].append(path)
+    if (paths := _WRITTEN.get()) is not None and not keep:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

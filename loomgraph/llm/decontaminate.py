@@ -8,10 +8,12 @@ Words are runs of ASCII letters and digits and of any code point from U+0080, wi
 property of bytes, so texts are normalised as UTF-8 without decoding.
 
 Defined results: null and empty texts have no words and no hits; a repeated row is reported as often as it
-occurs; an empty benchmark hits nothing; a window that several items contain reports every one of them.
+occurs; an empty benchmark hits nothing; a window that several items contain reports every one of them; an item whose
+identifier is null hits like others, but has no identifier to be listed by.
 
 The automaton is broadcast, so its size is checked: windows beyond ``block_bytes`` are dealt by hash over several
-automata, each within the bound, and the hits of the passes are united per document.
+automata, each within the bound, and the hits of the passes are united per document. It holds a number for each window; the
+items of the windows that were hit are joined afterwards, so a window of very many items weighs no more than another.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, held, in_arrow, slices, table
+from .common import arrow_pass, as_bytes, held, in_arrow, materialise, slices, table
 
 WIDTH = 10
 #: Bytes of distinct windows in one automaton; a trie node takes about 40 bytes of memory.
@@ -44,18 +46,18 @@ def windows_of(text: bytes | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def build_automaton(windows: list[tuple[str, list]]) -> ahocorasick.Automaton:
-    """Windows are latin-1 readings of UTF-8 bytes, padded by spaces: matches fall on word bounds only."""
+def build_automaton(windows: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """Numbered windows are latin-1 readings of UTF-8 bytes, padded by spaces: matches fall on word bounds only."""
     automaton = ahocorasick.Automaton()
-    for window, items in windows:
-        automaton.add_word(f" {window} ", (window.count(" ") + 1, tuple(items)))
+    for window, number in windows:
+        automaton.add_word(f" {window} ", (window.count(" ") + 1, number))
     if len(automaton):
         automaton.make_automaton()
     return automaton
 
 
 def scan_text(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words, merged runs of hit words [start, end), and the items whose windows occur."""
+    """Number of words, merged runs of hit words [start, end), and the numbers of the windows that occur."""
     words = words_of(text)
     if not words or not len(automaton):
         return len(words), [], set()
@@ -65,13 +67,13 @@ def scan_text(text: bytes | None, automaton: ahocorasick.Automaton) -> tuple[int
         return len(words), [], set()
     spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 32)
     ends = np.searchsorted(spaces, [end for end, _ in found])
-    edge, items = np.zeros(len(words) + 1, np.int64), set()
-    for end, (_, (n, ids)) in zip(ends.tolist(), found, strict=True):
+    edge, numbers = np.zeros(len(words) + 1, np.int64), set()
+    for end, (_, (n, number)) in zip(ends.tolist(), found, strict=True):
         edge[end - n] += 1
         edge[end] -= 1
-        items.update(ids)
+        numbers.add(number)
     hit = np.diff(np.concatenate(([0], (np.cumsum(edge) > 0).astype(np.int8), [0])))
-    return len(words), list(zip(np.flatnonzero(hit == 1).tolist(), np.flatnonzero(hit == -1).tolist(), strict=True)), items
+    return len(words), list(zip(np.flatnonzero(hit == 1).tolist(), np.flatnonzero(hit == -1).tolist(), strict=True)), numbers
 
 
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,34 +83,37 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(points[where[a][0]]), int(points[where[b - 1][1]])) for a, b in runs]
 
 
-def _windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
+def _windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (w, number) and their items (number, item), both written."""
+
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(w.decode("latin-1"), i) for i, t in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True) for w in windows_of(t, width)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["w", "item"])
 
-    cuts = arrow_pass(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")), cut, "w string, item string", 64)
-    return cuts.where("item is not null").groupBy("w").agg(F.collect_set("item").alias("items"))
+    cuts = materialise(arrow_pass(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")), cut, "w string, item string", 64))
+    windows = materialise(cuts.select("w").distinct().withColumn("number", F.monotonically_increasing_id()))
+    return windows, materialise(cuts.where("item is not null").distinct().join(windows, "w").select("number", "item"))
 
 
-_FOUND = "doc_id bigint, text_key bigint, n_words bigint, runs array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>, items array<string>"
+_FOUND = "doc_id bigint, text_key bigint, n_words bigint, runs array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>, windows array<bigint>"
 _RUN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(docs: DataFrame, windows: list[tuple[str, list]], only_hits: bool) -> DataFrame:
+def _scan(docs: DataFrame, windows: list[tuple[str, int]], only_hits: bool) -> DataFrame:
     sent, name = docs.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     def scan(part: pa.RecordBatch) -> pa.RecordBatch:
         automaton = held(name, lambda: build_automaton(sent.value))
         texts, rows = as_bytes(part.column(1)), []
         for i, text in enumerate(texts):
-            n, runs, items = scan_text(text, automaton)
+            n, runs, numbers = scan_text(text, automaton)
             if runs or not only_hits:
-                rows.append((i, n, runs, original_spans(text, runs) if runs else [], sorted(items)))
+                rows.append((i, n, runs, original_spans(text, runs) if runs else [], sorted(numbers)))
         pick = pa.array([r[0] for r in rows], pa.int64())
         pairs = lambda k: pa.array([[{"start": a, "end": b} for a, b in r[k]] for r in rows], _RUN)
         return pa.RecordBatch.from_arrays(
-            [part.column(0).take(pick), part.column(2).take(pick), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pa.array([r[4] for r in rows], pa.list_(pa.string()))],
-            ["doc_id", "text_key", "n_words", "runs", "spans", "items"],
+            [part.column(0).take(pick), part.column(2).take(pick), pa.array([r[1] for r in rows], pa.int64()), pairs(2), pairs(3), pa.array([r[4] for r in rows], pa.list_(pa.int64()))],
+            ["doc_id", "text_key", "n_words", "runs", "spans", "windows"],
         )
 
     return arrow_pass(docs, scan, _FOUND)
@@ -121,39 +126,52 @@ def _covered(runs: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any window's occurrence), items (array of item ids
     as strings, sorted), spans (hit runs as offsets of the original text)."""
-    windows = _windows(benchmark, item_col, item_text_col, width)
+    windows, items = _windows(benchmark, item_col, item_text_col, width)
     total = windows.agg(F.sum(F.length("w") + 2)).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    key = ["doc_id", "text_key"]
     if blocks == 1:
-        found = _scan(keyed.withColumn("text_key", F.lit(0).cast("bigint")), [(r["w"], r["items"]) for r in windows.collect()], only_hits=False)
-        return found.select("doc_id", "n_words", _covered(F.col("runs")).alias("n_hit"), "items", "spans")
-    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-    hits = None
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == block)
-        one = _scan(keyed, [(r["w"], r["items"]) for r in part.collect()], only_hits=True).dropDuplicates(["doc_id", "text_key"])
-        hits = one if hits is None else hits.unionByName(one)
-    positions = lambda c: F.flatten(F.collect_list(F.flatten(F.transform(c, lambda r: F.sequence(r["start"], r["end"] - 1)))))
-    united = hits.groupBy("doc_id", "text_key").agg(
-        F.size(F.array_distinct(positions(F.col("runs")))).cast("bigint").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-    )
-    base = _scan(keyed, [], only_hits=False).select("doc_id", "text_key", "n_words")
-    joined = base.alias("b").join(united.alias("u"), F.expr("b.doc_id <=> u.doc_id and b.text_key = u.text_key"), "left")
-    return joined.select("b.doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.expr("array()").cast("array<string>")).alias("items"), F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,end:int>>")).alias("spans"))
+        found = materialise(_scan(keyed, _of_block(windows, 0, 1), only_hits=False))
+        base = found.select(*key, "n_words", _covered(F.col("runs")).alias("n_hit"), "spans")
+        hit = found.where(F.size("windows") > 0).select(*key, "windows").dropDuplicates(key)
+    else:
+        hits = None
+        for block in range(blocks):
+            one = _scan(keyed, _of_block(windows, block, blocks), only_hits=True).dropDuplicates(key)
+            hits = one if hits is None else hits.unionByName(one)
+        positions = lambda c: F.flatten(F.collect_list(F.flatten(F.transform(c, lambda r: F.sequence(r["start"], r["end"] - 1)))))
+        united = materialise(hits.groupBy(*key).agg(
+            F.size(F.array_distinct(positions(F.col("runs")))).cast("bigint").alias("n_hit"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.flatten(F.collect_list("windows")).alias("windows"),
+        ))
+        words = _scan(keyed, [], only_hits=False).select(*key, "n_words")
+        base = words.alias("b").join(united.alias("u"), _same(key), "left").select("b.doc_id", "b.text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("spans", F.expr("array()").cast("array<struct<start:int,end:int>>")).alias("spans"))
+        hit = united.select(*key, "windows")
+    listed = hit.select(*key, F.explode("windows").alias("number")).join(items, "number").groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # documents that nothing hits needn't move
+    told = base.where("n_hit > 0").alias("b").join(listed.alias("u"), _same(key), "left").select("b.doc_id", "n_words", "n_hit", F.coalesce("items", F.expr("array()").cast("array<string>")).alias("items"), "spans")
+    return told.unionByName(base.where("n_hit = 0").select("doc_id", "n_words", "n_hit", F.expr("array()").cast("array<string>").alias("items"), "spans"))
+
+
+def _of_block(windows: DataFrame, block: int, blocks: int) -> list[tuple[str, int]]:
+    """The windows of one automaton, within its bound."""
+    return [(r["w"], r["number"]) for r in windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == block).collect()]
+
+
+def _same(key: list[str]) -> Column:
+    a, b = key
+    return F.col(f"b.{a}").eqNullSafe(F.col(f"u.{a}")) & (F.col(f"b.{b}") == F.col(f"u.{b}"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, whole, in whose text no window occurs. Windows beyond one automaton's bound go through it in
     turn; each pass keeps what the ones before kept."""
-    windows = _windows(benchmark, item_col, item_text_col, width)
+    windows, _ = _windows(benchmark, item_col, item_text_col, width)
     total = windows.agg(F.sum(F.length("w") + 2)).first()[0] or 0
     blocks, at = -(-total // block_bytes) or 1, docs.columns.index(text_col)
     for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == block)
-        docs = in_arrow(docs, _keeper(docs, [(r["w"], []) for r in part.collect()], at), docs.schema)
+        docs = in_arrow(docs, _keeper(docs, _of_block(windows, block, blocks), at), docs.schema)
     return docs
 
 

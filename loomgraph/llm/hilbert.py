@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 DIMENSIONS, BITS, SHARDS = 4, 8, 24
-#: Rows that make a group large, and the number of parts it is dealt into.
-LARGE, SALTS = 256, 32
+#: The share of rows, as a divisor, from which a group counts as large.
+COMMON = 1000
 
 
 def _gray(i: int) -> int:
@@ -76,14 +76,13 @@ def curve_index(cells: list[Column], bits: int) -> Column:
 
 
 def _with_group_curve(placed: DataFrame) -> DataFrame:
-    """``placed`` with the least curve index of its text's group. Large groups are dealt over ``SALTS`` salts, so that no task
-    gets one; a text that occurs once needs no join."""
+    """``placed`` with the least curve index of its text's group. Groups of a thousandth of the rows or more, a thousand at most,
+    come by broadcast, so that no task gets one; others by a join; a text that occurs once needs neither."""
     group = ["text_key", "text_crc32", "size"]
     groups = materialise(placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("curve").alias("group_curve")).where("n > 1"))
-    large = groups.where(F.col("n") >= LARGE).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    small = groups.where(F.col("n") < LARGE).select(*group, F.col("group_curve").alias("_small"))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "curve"), F.lit(SALTS)).cast("int"))
-    told = salted.join(large, [*group, "salt"], "left").drop("salt")
+    is_large = F.col("n") * COMMON >= placed.count()
+    large, small = groups.where(is_large).drop("n"), groups.where(~is_large).select(*group, F.col("group_curve").alias("_small"))
+    told = placed.join(F.broadcast(large), group, "left")
     rest = told.where("group_curve is null").drop("group_curve").join(small, group, "left")
     return told.where("group_curve is not null").unionByName(rest.withColumn("group_curve", F.coalesce("_small", "curve")).drop("_small"))
 

@@ -232,9 +232,9 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, symbols_per_language: int = SYMBOLS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Sample text of each label, from rows that aren't held out: at most ``docs_per_language`` distinct texts, and twice
     ``symbols_per_language`` characters of them."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = F.xxhash64(F.col(text_col))  # of the text alone: copies, under one or many identifiers, are one text
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row for each language
+    counts = {r[0]: r[1] for r in rows.select(F.col(lang_col).alias("l"), key.alias("k")).distinct().groupBy("l").count().collect()}  # one row for each language
     if not counts:
         return {}
     # a first choice by hash, so that few texts are sorted; the bound itself is the row number

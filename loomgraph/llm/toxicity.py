@@ -160,13 +160,15 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
-    """At most ``size`` labelled rows that aren't held out, with their texts; the limit makes the broadcast's bound. Rows that
-    repeat a labelled id and text count once, and the bound holds again after them."""
+    """At most ``size`` labelled rows that aren't held out, with their texts; the limit makes the broadcasts' bound. Rows that
+    repeat a labelled id and text count once, and the bound holds again after them. Rows are chosen by keys, so no task gets
+    the texts of all."""
     chosen = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = chosen.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(label_col) == 1).cast("int").alias("toxic")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(size)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text"))
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "key").limit(size).select("doc_id", "text", "toxic")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "key").distinct()
+    keys = found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "key").limit(size)
+    return texts.join(F.broadcast(keys), ["doc_id", "key"]).groupBy("doc_id", "toxic", "key").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:

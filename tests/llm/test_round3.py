@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from loomgraph.llm import contentsort, divergence, vectorcodes
+from loomgraph.llm import common, contentsort, decontaminate, divergence, langid, pii, toxicity, vectorcodes
 
 DOCS = "doc_id bigint, text string, lang string, source string, kept boolean, key string, bucket int, term string, n int, value int"
 MORE = (True, "k", 1, "t", 1, 1)
@@ -199,3 +200,51 @@ def test_bounds_lose_nothing_and_spare_distances():
         assert (distance == every.min(1)).all() and (entry == np.array([row.tolist().index(min(row)) for row in every])).all()
         if top >= 4000:
             assert computed < 0.4 * every.size
+
+
+def test_a_repeated_row_or_copies_do_not_push_a_language_out(spark):
+    """Forty texts beside one row repeated thousands of times, and beside copies under many identifiers."""
+    texts = [f"zeta {'quux ' * 5}number {chr(97 + k % 26)}{chr(97 + k // 26)} plugh" for k in range(40)]
+    for copies in ([(0, "same row again")] * 30_000, [(3 * k, "same text under many ids") for k in range(30_000)]):
+        rows = [(3 * k, t, "zz") for k, t in enumerate(texts)] + [(i, t, "zz") for i, t in copies]
+        sample = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))["zz"].split("\n")
+        assert sorted(sample) == sorted({*(t for k, t in enumerate(texts) if zlib.crc32(str(3 * k).encode()) % 3 != 1), copies[0][1]})
+
+
+@pytest.mark.parametrize("block", [4_000_000, 30])
+def test_items_without_an_identifier_hit_and_common_windows_list_all(spark, block):
+    items = [(None, "alpha beta gamma"), *((k, "delta epsilon") for k in range(500)), (None, "zeta")]
+    docs = [(1, "Alpha beta, GAMMA ok"), (2, "delta epsilon"), (2, "delta epsilon"), (None, "a zeta"), (4, None), (5, "nothing")]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block).collect()
+    every = sorted(str(k) for k in range(500))
+    assert sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in got)) == [(0, 2, 1, []), (1, 4, 3, []), (2, 2, 2, every), (2, 2, 2, every), (4, 0, 0, []), (5, 1, 0, [])]
+    assert decontaminate.keep_clean(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block).count() == 2
+
+
+def test_long_secrets_are_found():
+    for n in (31, 32, 128, 130, 100_000):
+        found = [p for p in pii.proposals(f"the api key is {'a1' * n}"[: 15 + n] + " end") if p[0] == "secret"]
+        assert [(a, b) for _, a, b, _, _ in found] == ([(15, 15 + n)] if n >= 32 else [])
+
+
+def test_scratch_tables_belong_to_a_thread(spark):
+    import threading
+
+    made = []
+    with common.scratch(spark):
+        mine = common.materialise(spark.range(3))
+        other = threading.Thread(target=lambda: made.append(common.materialise(spark.range(5))))
+        other.start()
+        other.join()
+        assert mine.count() == 3
+    assert made[0].count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        mine.count()
+
+
+def test_toxicity_sample_moves_no_text_through_one_task(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)] + [(1, "text 1"), (1, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    rows = toxicity._sample(docs, labels, "doc_id", "text", "toxic", 20).collect()
+    assert len(rows) == 20 and all(r.toxic == r.doc_id % 2 and zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    assert {r.text for r in rows} <= {f"text {k}" for k in range(60)} | {"other"}
