@@ -91,31 +91,6 @@ def stratified_split(rows: DataFrame, by: str, key: str) -> DataFrame:
     return rows.withColumn("split", F.when(k <= cut(0.7), "train").when(k <= cut(0.8), "dev").otherwise("eval"))
 
 
-def literal_candidates(triples: DataFrame, entities: DataFrame, strong: float = 0.4, weak: float = 0.1) -> DataFrame:
-    """s, r, o, e, sim_o, sim_s, tier: for the tail of each triple every entity (``name``) that is more than ``strong`` like
-    both ends; where there is none, the one of those more than ``weak`` like both with the greatest sum, the first of equals.
-
-    Every name is compared with every entity, once: ``weak`` lets pairs through that share one letter, so no key of
-    several letters would be without loss."""
-    parts = 2 * triples.sparkSession.sparkContext.defaultParallelism
-    known = small(entities.select(F.col("name").alias("e")).distinct())
-
-    def like(end: str) -> DataFrame:
-        names = triples.select(end).where(F.col(end).isNotNull()).distinct().repartition(parts, end)
-        return names.crossJoin(known).withColumn(f"sim_{end}", T.similarity(F.col(end), F.col("e"))).where(F.col(f"sim_{end}") > weak)
-
-    ends = triples.select("s", "o").distinct()
-    found = ends.join(like("o"), "o").join(like("s"), ["s", "e"])
-    one = F.struct("e", "sim_o", "sim_s")
-    whole = lambda c: T.fixed(F.col(c)) * 1_000_000
-    best = F.min(F.struct((-F.round(whole("sim_o")) - F.round(whole("sim_s"))).cast("bigint").alias("k"), "e", one.alias("one")))["one"]
-    sure = F.collect_list(F.when((F.col("sim_o") > strong) & (F.col("sim_s") > strong), one))
-    chosen = found.groupBy("s", "o").agg(sure.alias("sure"), best.alias("best"))
-    tier = F.when(F.size("sure") > 0, "candidate").otherwise("fallback").alias("tier")
-    rows = chosen.select("s", "o", tier, F.explode(F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.array("best"))).alias("c"))
-    return triples.join(rows, ["s", "o"]).select("s", "r", "o", "c.e", T.fixed(F.col("c.sim_o")).alias("sim_o"), T.fixed(F.col("c.sim_s")).alias("sim_s"), "tier")
-
-
 def longest_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """sid columns, pos, n, name, tag of terms of one or more words in tokenised sentences (doc_id, sid, pos, tok): from the
     left, the longest that starts at a free position. ``terms``: name (words joined by one space), tag."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators import candidates as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import supervision as S
 from loomgraph.sources.tables import small, table
@@ -279,20 +280,28 @@ _BYTES = "translate({}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
 _SIM = "floor({0} * 1000000.0::double + 0.5::double) / 1000000.0::double"
 
 
-@query(f"""with {VOCAB}, {KNOWN}, tri as (select distinct e1 s, r, e2 o from allk where e1 in (select name from vocab) and e2 in (select name from vocab where tag = 'candidate_entity')),
+NEAR = f"""tri as (select distinct e1 s, r, e2 o from allk where e1 in (select name from vocab) and e2 in (select name from vocab where tag = 'candidate_entity')),
 ent as (select name e from vocab where tag = 'true_entity'), names as (select s as name from tri union select o from tri),
 sub as (select distinct name, name[i:j] t from (select name, i, unnest(generate_series(i, length(name))) j from (select name, unnest(generate_series(1, length(name))) i from (select name from names union select e from ent)))),
 lcs as (select a.name, e, max(length(a.t)) l from sub a join sub b on a.t = b.t join ent on ent.e = b.name where a.name in (select name from names) group by all),
 sim as (select name, e, ((m - levenshtein({_BYTES.format('name')}, {_BYTES.format('e')})) * n + l * m)::double / (m * n)::double v from (select *, greatest(length(name), length(e)) m, length(name) + length(e) n from lcs)),
 near as (select s, o, x.e, x.v vo, y.v vs, x.v > 0.4::double and y.v > 0.4::double sure from (select distinct s, o from tri) join sim x on x.name = o and x.v > 0.1::double join sim y on y.name = s and y.e = x.e and y.v > 0.1::double),
-kept as (select * from near where sure union all select * from (select * from near where (s, o) not in (select (s, o) from near where sure) qualify row_number() over (partition by s, o order by floor(vo * 1000000.0::double + 0.5::double) + floor(vs * 1000000.0::double + 0.5::double) desc, encode(e)) = 1))
+kept as (select * from near where sure union all select * from (select * from near where (s, o) not in (select (s, o) from near where sure) qualify row_number() over (partition by s, o order by floor(vo * 1000000.0::double + 0.5::double) + floor(vs * 1000000.0::double + 0.5::double) desc, encode(e)) = 1))"""
+
+
+@query(f"""with {VOCAB}, {KNOWN}, {NEAR}
 select s, r, o, e, {_SIM.format("vo")} sim_o, {_SIM.format("vs")} sim_s, case when sure then 'candidate' else 'fallback' end tier from kept join tri using (s, o)""")
 def literal_candidates(spark, d):
+    return C.literal_candidates(*_literals(spark, d))
+
+
+def _literals(spark, d):
+    """Triples whose tail is a literal, and the entities that may stand for it."""
     bench = table(spark, d, "benchmark")
     vocab = S.vocabulary(bench)
     literal = vocab.where("tag = 'candidate_entity'").select(F.col("name").alias("o"))
     triples = S.known_pairs(bench, vocab, F.lit(True)).toDF("s", "r", "o").join(literal, "o", "left_semi")
-    return S.literal_candidates(triples, vocab.where("tag = 'true_entity'"))
+    return triples.select("s", "r", "o"), vocab.where("tag = 'true_entity'")
 
 
 @query(f"with {SENT}, {VOCAB}, {TOKENS} select a.name s, b.name e, count(distinct (a.doc_id, a.sid))::bigint n from ment a join ment b on a.doc_id = b.doc_id and a.sid = b.sid and a.tag = 'candidate_entity' and b.tag = 'true_entity' group by 1, 2")
@@ -307,9 +316,7 @@ SKY = "pts as (select p_partkey, p_brand, p_size, p_retailprice, (select count(*
 
 @query(f"with {SKY} select p_partkey, p_brand from pts a where not exists (select 1 from pts b where b.p_brand = a.p_brand and b.p_size >= a.p_size and b.p_retailprice >= a.p_retailprice and b.n >= a.n and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice or b.n > a.n))")
 def skyline_candidates(spark, d):
-    pts = _points(spark, d)
-    worse = pts.alias("a").join(pts.alias("b"), F.expr("a.p_brand = b.p_brand and b.p_size >= a.p_size and b.p_retailprice >= a.p_retailprice and b.n >= a.n and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice or b.n > a.n)"), "left_anti")
-    return worse.select("p_partkey", "p_brand")
+    return C.skyline(_points(spark, d), ["p_brand"], ["p_size", "p_retailprice", "n"]).select("p_partkey", "p_brand")
 
 
 @query(f"with {SKY} select n_candidates, count(*)::bigint n from (select p_brand, count(*)::bigint n_candidates from pts a where not exists (select 1 from pts b where b.p_brand = a.p_brand and b.p_size >= a.p_size and b.p_retailprice >= a.p_retailprice and b.n >= a.n and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice or b.n > a.n)) group by p_brand) group by n_candidates")

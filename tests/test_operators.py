@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
 from loomgraph.operators import supervision as S
+from loomgraph.operators import candidates as C
 from loomgraph.sources import tables as R
 
 
@@ -21,7 +22,7 @@ def test_offsets_and_similarity(spark):
 def test_literal_candidates_whatever_the_first_letters(spark):
     entities = spark.createDataFrame([("old anvil",), ("cold bolt",), ("zzzz",), ("qz",)], "name string")
     triples = spark.createDataFrame([("cold anvil", "r1", "bold anvil"), ("q123456", "r2", "q98765"), ("xxx", "r3", "yyy")], "s string, r string, o string")
-    got = {(x.s, x.r, x.o, x.e, x.sim_o, x.sim_s, x.tier) for x in S.literal_candidates(triples, entities).collect()}
+    got = {(x.s, x.r, x.o, x.e, x.sim_o, x.sim_s, x.tier) for x in C.literal_candidates(triples, entities).collect()}
     near = round(1 - 1 / 10 + 9 / 19, 6)
     assert {x for x in got if x[3] == "old anvil"} == {("cold anvil", "r1", "bold anvil", "old anvil", near, near, "candidate")}
     assert {x[1:4] + x[6:] for x in got} == {("r1", "bold anvil", "old anvil", "candidate"), ("r1", "bold anvil", "cold bolt", "candidate"), ("r2", "q98765", "qz", "fallback")}
