@@ -83,14 +83,6 @@ def first_encounter_ids(rows: DataFrame, value: str, at: list[str]) -> DataFrame
     return numbered(first, ["at", F.col(value).asc_nulls_first()], "id").select(value, F.col("id").cast("bigint").alias("id"))
 
 
-def stratified_split(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """70 / 10 / 20 of each class in the order of a digest of the key."""
-    order = Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string")), key)
-    n, k = F.count(F.lit(1)).over(Window.partitionBy(by)), F.row_number().over(order)
-    cut = lambda share: F.floor(n * F.lit(share))
-    return rows.withColumn("split", F.when(k <= cut(0.7), "train").when(k <= cut(0.8), "dev").otherwise("eval"))
-
-
 def longest_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     """sid columns, pos, n, name, tag of terms of one or more words in tokenised sentences (doc_id, sid, pos, tok): from the
     left, the longest that starts at a free position. ``terms``: name (words joined by one space), tag."""
@@ -110,11 +102,6 @@ def longest_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return kept.select("doc_id", "sid", F.inline("kept"))
 
 
-def zipped_terms(tags, names):
-    """Tags and names of a vocabulary by position, as one array of pairs."""
-    return F.arrays_zip(tags.alias("tag"), names.alias("name"))
-
-
 def numbered(rows: DataFrame, order: list, name: str = "n") -> DataFrame:
     """``rows`` with their number, from 0, in a total order, without a task that holds them all: ranges are dealt and sorted,
     and each adds the count of those before it (one row a range). Written once, so that ranges are the same when read."""

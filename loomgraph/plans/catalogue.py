@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import candidates as C
 from loomgraph.operators import graph as G
+from loomgraph.operators import ordered as O
 from loomgraph.operators import supervision as S
 from loomgraph.sources.tables import small, table
 
@@ -197,7 +198,7 @@ def entity_ids(spark, d):
 
 @query("select doc_id, toxic, case when k <= floor(n * 0.7::double) then 'train' when k <= floor(n * 0.8::double) then 'dev' else 'eval' end split from (select doc_id, toxic, row_number() over (partition by toxic order by md5(doc_id::varchar), doc_id) k, count(*) over (partition by toxic) n from labels)")
 def stratified_split(spark, d):
-    return S.stratified_split(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id")
+    return O.stratified_split(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id")
 
 
 @query("select event_id, case when k <= floor(n / 2.0) then 'test' else 'dev' end split from (select event_id, row_number() over (order by md5(cast(event_id as string)), event_id) k, count(*) over () n from events)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
 from loomgraph.operators import metrics as M
+from loomgraph.operators import ordered as O
 from loomgraph.operators import relation_model as R
 from loomgraph.operators import supervision as S
 from loomgraph.plans.catalogue import query
@@ -51,7 +52,7 @@ def relation_map_roundtrip(spark, d):
 
 @query("select word from (select c_name word, row_number() over (order by c_name) n from customer) where n <= 263 union all select '…'")
 def stopword_prefix(spark, d):
-    names = table(spark, d, "customer").select("c_name").orderBy("c_name").coalesce(1)
+    names = table(spark, d, "customer").select("c_name").orderBy("c_name").limit(263)
     return X.stopwords(spark, files.lines(names, "c_name", new_path(spark, "stopwords")), first=263)
 
 
@@ -210,9 +211,11 @@ def path_rollup(spark, d):
     return table(spark, d, "part").select(F.col("p_type").alias("path"), T.path_leaf(path).alias("leaf"), F.array_join(T.path_prefixes(path), "|").alias("prefixes")).distinct()
 
 
-@query("select e::int epoch, 0.001::double * power(0.5::double, floor(e / 2)) rate from range(15) t(e)")
+@query("select distinct cast(floor((l_orderkey % 1500) / 100.0) as int) epoch, 0.001::double * power(0.5::double, floor(floor((l_orderkey % 1500) / 100.0) / 2)) rate from lineitem")
 def learning_rate(spark, d):
-    return spark.range(15).select(F.col("id").cast("int").alias("epoch"), T.learning_rate(F.lit(0.001), F.col("id")).alias("rate"))
+    """The rate of each epoch that the table's rows fall into."""
+    epochs = table(spark, d, "lineitem").select(F.floor((F.col("l_orderkey") % 1500) / 100).cast("int").alias("epoch")).distinct()
+    return epochs.select("epoch", T.learning_rate(F.lit(0.001), F.col("epoch")).alias("rate"))
 
 
 @query("select event_id, 'click' relation from events where event_type = 'click' and not regexp_matches(props, '^[\\x00-\\x7f]*$') union all select event_id, event_type from events where event_type not in ('click', 'error')")
@@ -239,7 +242,7 @@ def multiword_tagging(spark, d):
 def _samples(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     made = rows.select("doc_id", R.marked_words(F.col("text"), F.col("source"), F.col("lang")).alias("words"), F.col("source").alias("e1"), F.col("lang").alias("e2"), F.lit("source").alias("tag1"), F.when(F.col("lang") == "fr", "nr").otherwise("lang").alias("tag2"), (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
-    return S.stratified_split(made.where("label is not null"), "label", "doc_id")
+    return O.stratified_split(made.where("label is not null"), "label", "doc_id")
 
 
 def _predicted(spark, d):

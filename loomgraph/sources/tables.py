@@ -43,9 +43,11 @@ def markup_files(spark: SparkSession, path: str, glob: str = "*.xhtml") -> DataF
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """id, label: a row for each of several labels; the last line of an id wins."""
-    raw = spark.read.option("sep", "\t").schema("id string, label string").csv(path).withColumn("at", F.monotonically_increasing_id())
-    last = raw.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("at")))).where("k = 1")
+    """id, label: a row for each of several labels; the last line of an id wins, over all files in the order of their paths, however
+    they are split for reading."""
+    raw = spark.read.option("sep", "\t").schema("id string, label string").csv(path)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    last = raw.select("id", "label", at.alias("at")).groupBy("id").agg(F.max_by("label", "at").alias("label"))
     return last.select("id", F.explode_outer(F.split("label", " ").cast("array<int>")).alias("label"))
 
 
@@ -55,7 +57,7 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SPO).json(path).select(F.lower("text").alias("sentence"), F.col("postag.word").alias("tokens"), F.explode("spo_list").alias("spo"))
+    return spark.read.schema(SPO).json(path).select(F.lower("text").alias("sentence"), F.col("postag.word").alias("tokens"), F.explode_outer("spo_list").alias("spo"))
 
 
 def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -122,12 +124,3 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """key, value of one JSON object; the key ``null`` is no relation."""
     raw = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("key", "value"))
     return raw.select(F.when(F.col("key") != "null", F.col("key")).alias("key"), "value")
-
-
-def batches(df: DataFrame, size: int = 64, seed: int | None = None) -> DataFrame:
-    """``df`` with the number of its batch within its partition and its place there: shuffled by hash for training, in the
-    rows' order otherwise."""
-    order = [F.xxhash64(F.lit(seed), *df.columns)] if seed is not None else [F.monotonically_increasing_id()]
-    rows = df.withColumn("part", F.spark_partition_id()).withColumn("_k", F.struct(*order))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("_k")) - 1
-    return rows.withColumn("_n", place).withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size).drop("_k", "_n")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import graph as G
+from loomgraph.operators import ordered as O
 from loomgraph.operators import supervision as S
 from loomgraph.operators import candidates as C
 from loomgraph.sources import tables as R
@@ -43,7 +44,7 @@ def test_directions_and_tiers(spark):
 
 def test_split_sizes(spark):
     rows = spark.createDataFrame([(c, i) for c, n in ((1, 1), (2, 2), (3, 3), (10, 10)) for i in range(n)], "c int, k int")
-    got = {(r.c, r.split): r["count"] for r in S.stratified_split(rows, "c", "k").groupBy("c", "split").count().collect()}
+    got = {(r.c, r.split): r["count"] for r in O.stratified_split(rows, "c", "k").groupBy("c", "split").count().collect()}
     assert got == {(1, "eval"): 1, (2, "train"): 1, (2, "eval"): 1, (3, "train"): 2, (3, "eval"): 1, (10, "train"): 7, (10, "dev"): 1, (10, "eval"): 2}
 
 

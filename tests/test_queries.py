@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from loomgraph.plans import catalogue, formats, language, linking  # noqa: F401  (the others register their queries)
+from loomgraph.plans import catalogue, formats, language, linking, training  # noqa: F401  (the others register their queries)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
