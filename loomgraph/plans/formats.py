@@ -239,14 +239,14 @@ def multiword_tagging(spark, d):
     return S.longest_terms(tokens.withColumn("pos", F.col("pos").cast("bigint")), _multiword(spark, d))
 
 
-def _samples(spark, d):
+def relation_samples(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     made = rows.select("doc_id", R.marked_words(F.col("text"), F.col("source"), F.col("lang")).alias("words"), F.col("source").alias("e1"), F.col("lang").alias("e2"), F.lit("source").alias("tag1"), F.when(F.col("lang") == "fr", "nr").otherwise("lang").alias("tag2"), (F.col("quality") * 2 + F.col("toxic")).cast("int").alias("label"))
     return O.stratified_split(made.where("label is not null"), "label", "doc_id")
 
 
 def _predicted(spark, d):
-    samples = _samples(spark, d)
+    samples = relation_samples(spark, d)
     path = R.save(R.fit(samples.where("split = 'train'")), new_path(spark, "model"))
     return R.predict(R.load(path), samples.drop("label").join(samples.select("doc_id", "label"), "doc_id"))
 
