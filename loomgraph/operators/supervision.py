@@ -33,17 +33,20 @@ def mentions(tokens: DataFrame) -> DataFrame:
 
 
 def pairs(found: DataFrame) -> DataFrame:
-    """Two different names of one sentence, the first first; joined on the sentence, so no product is made."""
-    a, b = (found.select("doc_id", "sid", F.col("name").alias(f"e{k}"), F.col("tag").alias(f"tag{k}"), F.col("position").alias(f"p{k}")) for k in (1, 2))
-    return a.join(b, ["doc_id", "sid"]).where((F.col("p1") < F.col("p2")) & (F.col("e1") != F.col("e2")))
+    """Two different names of one sentence, the first first: a sentence's mentions are brought together once, as an array, and
+    paired within it."""
+    held = found.groupBy("doc_id", "sid").agg(F.sort_array(F.collect_list(F.struct("position", "name", "tag"))).alias("ms"))
+    ends = lambda a, b: F.struct(a["name"].alias("e1"), a["tag"].alias("tag1"), a["position"].alias("p1"), b["name"].alias("e2"), b["tag"].alias("tag2"), b["position"].alias("p2"))
+    after = lambda a: F.filter("ms", lambda b: (b["position"] > a["position"]) & (b["name"] != a["name"]))
+    made = F.flatten(F.transform("ms", lambda a: F.transform(after(a), lambda b: ends(a, b))))
+    return held.where(F.size("ms") > 1).select("doc_id", "sid", F.inline(made))
 
 
 def known_pairs(benchmark: DataFrame, vocab: DataFrame, which: Column) -> DataFrame:
     """e1, r, e2 of the items that ``which`` selects: ordered pairs of dictionary words by their first position."""
     words = benchmark.where(which).select("item_id", F.posexplode(T.words(F.lower("text"))).alias("position", "name")).join(small(vocab), "name", "left_semi")
-    first = words.groupBy("item_id", "name").agg(F.min("position").alias("p"))
-    a, b = (first.select("item_id", F.col("name").alias(f"e{k}"), F.col("p").alias(f"p{k}")) for k in (1, 2))
-    return a.join(b, "item_id").where("p1 < p2").select("e1", F.concat(F.lit("r"), (F.col("item_id") % 5).cast("string")).alias("r"), "e2").distinct()
+    first = words.groupBy("item_id", "name").agg(F.min("position").alias("position")).withColumns({"doc_id": F.col("item_id"), "sid": F.lit(0), "tag": F.lit("")})
+    return pairs(first).select("e1", F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string")).alias("r"), "e2").distinct()
 
 
 def matched(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -60,9 +63,10 @@ KEY = ["doc_id", "sid", "e1", "e2", "p1", "p2"]
 def supervised(found: DataFrame, true: DataFrame, potential: DataFrame) -> DataFrame:
     """Each pair with its labels: from true triples, else from potential ones, else none. The labels of both tiers and
     directions are one dictionary, so the pairs are read once and joined once."""
-    first = _labels(true, "true")
-    second = _labels(potential, "potential").join(small(first.select("e1", "e2").distinct()), ["e1", "e2"], "left_anti")
-    known = small(first.unionByName(second))
+    both = _labels(true, "true").unionByName(_labels(potential, "potential"))
+    # of one pair the true labels alone count ("true" sorts after "potential")
+    ranked = both.withColumn("best", F.max("tier").over(Window.partitionBy("e1", "e2")))
+    known = small(ranked.where("tier = best").drop("best"))
     return found.join(known, ["e1", "e2"], "left").withColumn("tier", F.coalesce("tier", F.lit("none")))
 
 

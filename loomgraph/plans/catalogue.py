@@ -61,7 +61,7 @@ FULL = "with " + ", ".join((SENT, VOCAB, TOKENS, PAIRS, KNOWN, MATCH)) + " "
 
 def _pairs(spark, d):
     docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    vocab = S.vocabulary(bench)
+    vocab = small(S.vocabulary(bench))
     found = S.pairs(S.mentions(S.tagged(S.sentences(docs), vocab)))
     return found, S.known_pairs(bench, vocab, F.col("item_id") % 3 != 0), S.known_pairs(bench, vocab, F.col("item_id") % 3 == 0)
 
@@ -299,7 +299,7 @@ def literal_candidates(spark, d):
 def _literals(spark, d):
     """Triples whose tail is a literal, and the entities that may stand for it."""
     bench = table(spark, d, "benchmark")
-    vocab = S.vocabulary(bench)
+    vocab = small(S.vocabulary(bench))
     literal = vocab.where("tag = 'candidate_entity'").select(F.col("name").alias("o"))
     triples = S.known_pairs(bench, vocab, F.lit(True)).toDF("s", "r", "o").join(literal, "o", "left_semi")
     return triples.select("s", "r", "o"), vocab.where("tag = 'true_entity'")

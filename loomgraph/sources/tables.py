@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.sinks.workspace import new_path
 
 SPO = "text string, postag array<struct<word:string,pos:string>>, spo_list array<struct<predicate:string,subject:string,object:string,subject_type:string,object_type:string>>"
 CANDIDATES = "s string, r string, o string, candidate_entity array<string>"
 SCHEMA_ROWS = "subject_type string, predicate string, object_type string"
 NODE_LINK = "directed boolean, multigraph boolean, nodes array<struct<id:bigint,name:string,color:string,radius:double>>, links array<struct<weight:bigint,source:bigint,target:bigint>>"
 
-#: Rows up to which a dictionary may be broadcast; larger ones are left to a shuffled join.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as written) up to which a dictionary may be broadcast; larger ones are left to a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count shows it to be small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once and read back, marked for broadcast if its rows and bytes are few enough. What has been through
+    here comes back as it is, so a dictionary that several joins use is made and measured once."""
+    if getattr(df, "_measured", False):
+        return df
+    path = new_path(df.sparkSession, "small")
+    df.write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    fits = int(str(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= size and held.count() <= rows
+    held = F.broadcast(held) if fits else held
+    held._measured = True
+    return held
 
 
 def triples(spark: SparkSession, path: str) -> DataFrame:
