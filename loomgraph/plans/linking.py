@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import candidates as C
+from loomgraph.operators import markup as M
 from loomgraph.operators import supervision as S
 from loomgraph.plans.catalogue import _SIM, KNOWN, NEAR, SENT, TOKENS, VOCAB, _literals, query
 from loomgraph.sources.tables import small, table
@@ -50,3 +51,44 @@ select s, r, o, e, sim_o, sim_s, n, case when three then 'three' when two then '
 qualify row_number() over (partition by s, r, o order by case when three then 1 when two then 2 else 3 end, sim_o desc, encode(e)) = 1""")
 def replacement_choice(spark, d):
     return C.lower_bound(_skyline(spark, d), ["s", "r", "o"], ["sim_o", "sim_s", "n"], ["sim_o", "n"], "sim_o", "e")
+
+
+def _candidate_lines(spark, d):
+    """Parts in the order of their keys: an object with its id, and the words of its name as candidates."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("line"), F.col("p_brand").alias("object"), F.explode(F.split("p_name", " ")).alias("candidate"))
+
+
+@query("""with p as (select p_partkey line, p_brand as object, unnest(string_split(p_name, ' ')) candidate from part),
+o as (select object, row_number() over (order by first) id from (select object, min(line) as first from p group by object))
+select candidate, min(line)::bigint line, arg_min(id, line)::bigint id from p join o using (object) where candidate <> object group by candidate""")
+def candidate_ids(spark, d):
+    """A candidate's id is that of the object of the first line that names it; objects are numbered by their first line."""
+    lines = _candidate_lines(spark, d)
+    objects = small(S.numbered(lines.groupBy("object").agg(F.min("line").alias("first")), ["first"], "n").select("object", (F.col("n") + 1).alias("id")))
+    found = lines.where(F.col("candidate") != F.col("object")).join(objects, "object")
+    return found.groupBy("candidate").agg(F.min("line").cast("bigint").alias("line"), F.min_by("id", "line").cast("bigint").alias("id"))
+
+
+@query("""with w as (select item_id, lower(u.t) as name from (select item_id, regexp_split_to_array(text, '[\\s.,]+') a from benchmark) b, unnest(b.a) u(t) where length(u.t) >= 5)
+select name from w where item_id % 4 <> 0 intersect select name from w where item_id % 4 = 0""")
+def names_of_both_tags(spark, d):
+    """Names that some items make true entities and others candidates."""
+    words = table(spark, d, "benchmark").select("item_id", F.explode(T.words(F.lower("text"))).alias("name")).where(F.length("name") >= 5)
+    return words.where("item_id % 4 <> 0").select("name").intersect(words.where("item_id % 4 = 0").select("name"))
+
+
+@query("with r as (select conv_id, count(distinct role) n from conversations group by conv_id) select count(*)::bigint n_rows, (count(*) filter (n > 1))::bigint n_multi, sum(n)::bigint n_labels from r")
+def multilabel_counts(spark, d):
+    roles = table(spark, d, "conversations").groupBy("conv_id").agg(F.countDistinct("role").alias("n"))
+    return roles.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n") > 1).alias("n_multi"), F.sum("n").alias("n_labels"))
+
+
+@query()
+def page_elements(spark, d):
+    """Each text of a page with the path of its open elements."""
+    return M.elements(table(spark, d, "pages")).drop("parents")
+
+
+@query()
+def box_statements(spark, d):
+    return M.boxes(M.elements(table(spark, d, "pages")))
