@@ -449,9 +449,14 @@ def _usual(found: DataFrame) -> DataFrame:
             sides = [[np.frombuffer(b, "<i8") for b in part.column(k).to_pylist()] for k in (1, 2)]
             hubs = part.column(0).to_numpy()
             hub = np.concatenate([np.repeat(hubs, [v.size for v in side]) for side in sides])
-            yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(np.concatenate([v for side in sides for v in side])), pa.array(np.arange(hub.size) < sum(v.size for v in sides[0]))], ["hub", "e", "added"])
-
-    told = found.select("hub", "added", "removed").mapInArrow(run, "hub bigint, e bigint, added boolean").groupBy("hub", "e", "added").agg(F.count(F.lit(1)).alias("k"))
+            e, added = np.concatenate([v for side in sides for v in side]), np.arange(hub.size) < sum(v.size for v in sides[0])
+            # what many of a batch's sets share is one row
+            order = np.lexsort((added, e, hub))
+            hub, e, added = hub[order], e[order], added[order]
+            first = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (e[1:] != e[:-1]) | (added[1:] != added[:-1])))) if hub.size else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hub[first]), pa.array(e[first]), pa.array(added[first]), pa.array(np.diff(np.append(first, hub.size)))], ["hub", "e", "added", "k"])
+
+    told = found.select("hub", "added", "removed").mapInArrow(run, "hub bigint, e bigint, added boolean, k bigint").groupBy("hub", "e", "added").agg(F.sum("k").alias("k"))
     sizes = found.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     most = told.join(sizes, "hub").where("2 * k > m")
     return most.groupBy("hub").agg(F.collect_list(F.when(F.col("added"), F.col("e"))).alias("more"), F.collect_list(F.when(~F.col("added"), F.col("e"))).alias("fewer"))
@@ -665,7 +670,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
     sets = _sets(docs, first.join(nodes, "set_id", "left_semi"), width, seed, name)
     # first each set with the one that it shares most lists with
     near = materialise(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y")))
-    roots = materialise(components(_links(materialise(_possible(near, sets, num, den)), sets, num, den)))
+    roots = materialise(components(materialise(_links(materialise(_possible(near, sets, num, den)), sets, num, den))))
     left, merged = close.join(near, ["x", "y"], "left_anti").distinct(), True
     while True:
         # what small lists propose and what hubs tell of long ones, but for pairs that are in one component already
@@ -675,7 +680,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
         apart = _apart(proposed if left is None else left.unionByName(proposed), roots).distinct()
         rest = materialise(_possible(apart, sets, num, den))
         links = roots.where("node <> root").select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(_derived(found)).unionByName(_links(rest, sets, num, den))
-        roots = materialise(components(links))
+        roots = materialise(components(materialise(links)))
         longer = lists.where("kind = 2").select(F.col("a").alias("list"), F.col("b").alias("x"))
         if longer.isEmpty():
             return _labelled(rows, first, roots)
