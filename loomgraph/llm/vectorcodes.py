@@ -74,7 +74,12 @@ def nearest(u: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         left = _bound(su[at], ru[at], sc[entry], rc[entry], small) <= best[at] * width
         at, entry = at[left], entry[left]
     exact = ((u[at] - entries[entry]) ** 2).sum(1)
-    order = np.lexsort((entry, exact, at)) if small else np.array(sorted(range(len(at)), key=lambda k: (at[k], exact[k], entry[k])), np.int64)
+    if small:
+        known = np.full(bound.shape, np.iinfo(np.int64).max)
+        known[at, entry] = exact
+        chosen = known.argmin(1)
+        return chosen, known[rows, chosen], len(u) + len(at)
+    order = np.array(sorted(range(len(at)), key=lambda k: (at[k], exact[k], entry[k])), np.int64)
     chosen = order[np.searchsorted(at[order], rows)]
     return entry[chosen], exact[chosen], len(u) + len(at)
 
