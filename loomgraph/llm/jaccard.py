@@ -557,9 +557,9 @@ def _able(found: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.repartition(parts, "hub").sortWithinPartitions("hub").mapInArrow(run, "hub bigint, place bigint")
 
 
-def _difference_lists(found: DataFrame, num: int, den: int) -> DataFrame:
+def _difference_lists(found: DataFrame, num: int, den: int, paired: int) -> DataFrame:
     def run(batches):
-        reader = ListReader(SMALL_DIFFERENCE_LIST, lambda *of: may_link_apart(*of, num, den))
+        reader = ListReader(paired, lambda *of: may_link_apart(*of, num, den))
         for batch in batches:
             if batch.num_rows:
                 yield _told(*reader.read(np.stack([batch.column(k).to_numpy() for k in range(5)])))
@@ -641,19 +641,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialise(forest(small).distinct())
 
 
-def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included)."""
+def join(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", paired: int = SMALL_DIFFERENCE_LIST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included).
+    Lists of differences of up to ``paired`` sets are paired in place, longer ones take a round of their own: more pairs are
+    refuted in place, or more rounds are made; the result is the same."""
     spark, name = docs.sparkSession, f"loomgraph_sets_{uuid.uuid4().hex}"
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with scratch(spark):
         try:
-            return materialise(_classes(docs, width, *threshold, name), keep=True)
+            return materialise(_classes(docs, width, *threshold, name, paired), keep=True)
         finally:
             spark.sql(f"drop table if exists {name}")
             drop(spark, f"{shared_dir(spark)}/{name}")
 
 
-def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> DataFrame:
+def _classes(docs: DataFrame, width: int, num: int, den: int, name: str, paired: int) -> DataFrame:
     for seed in count():
         found = materialise(_lists(_index(docs, width, num, den, seed), num, den))
         rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"), F.col("c").bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).alias("n_shingles"), F.col("c").alias("whole"))
@@ -675,7 +677,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, name: str) -> Data
     while True:
         # what small lists propose and what hubs tell of long ones, but for pairs that are in one component already
         found = materialise(_posted(materialise(_differences(_with_hubs(members, roots, merged), sets)), num, den))
-        lists = materialise(_difference_lists(found, num, den))
+        lists = materialise(_difference_lists(found, num, den, paired))
         proposed = lists.where("kind = 1").select(F.col("a").alias("x"), F.col("b").alias("y"))
         apart = _apart(proposed if left is None else left.unionByName(proposed), roots).distinct()
         rest = materialise(_possible(apart, sets, num, den))
@@ -743,4 +745,4 @@ def one_of_each(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), width=4, threshold=(85, 100))
+    return join(table(spark, sf_dir, "documents"), width=4, threshold=(85, 100), paired=400)

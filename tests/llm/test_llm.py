@@ -419,7 +419,8 @@ def _linked_components(rows, width, num):
     return {i: find(i) for i in sets}
 
 
-def test_jaccard_groups_of_variants(spark, monkeypatch):
+@pytest.mark.parametrize("paired", [12, 400])
+def test_jaccard_groups_of_variants(spark, paired):
     rng = random.Random(31)
     texts = []
     for _ in range(2):
@@ -433,9 +434,8 @@ def test_jaccard_groups_of_variants(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = _linked_components(rows, 4, 85)
     assert 2 < len(set(want.values())) < 280
-    monkeypatch.setattr(jaccard, "SMALL_DIFFERENCE_LIST", 12)  # so that lists of differences get hubs, too
     tables = spark.catalog.listTables()
-    assert {r.doc_id: r.component_id for r in jaccard.join(docs, width=4, threshold=(85, 100)).collect()} == want
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs, width=4, threshold=(85, 100), paired=paired).collect()} == want  # 12: lists of differences get hubs, too
     assert spark.catalog.listTables() == tables
 
 
