@@ -17,20 +17,53 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(a, b) reachable by one or more edges, without loops; semi-naive: only new pairs are extended, and path lengths
-    double a round."""
-    known = _cut(edges.select("a", "b").where("a <> b").distinct())
-    new = known
+    """(a, b) reachable by one or more edges, without loops. Where no node has two successors or two predecessors, nodes are ranked
+    along their path and the pairs follow from the ranks; else pairs are joined until nothing is new."""
+    steps = _cut(edges.select("a", "b").where("a <> b").distinct())
+    if all(steps.groupBy(c).count().where("count > 1").isEmpty() for c in ("a", "b")):
+        return _along_paths(steps, rounds)
+    return _joined_up(steps, rounds)
+
+
+def _joined_up(steps: DataFrame, rounds: int) -> DataFrame:
+    """Path lengths double a round: pairs at a distance of 2^k exactly are extended by those of up to 2^k, so that each pair is
+    formed only once for each node at that place of its shortest paths."""
+    known, exact = steps, steps
+    after = lambda df: df.select(F.col("a").alias("b"), F.col("b").alias("c"))
     for _ in range(rounds):
-        left = new.join(known.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        right = known.join(new.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        new = _cut(left.unionByName(right).where("a <> b").distinct().join(known, ["a", "b"], "left_anti"))
+        longer = exact.join(after(known), "b").select("a", F.col("c").alias("b")).where("a <> b").distinct()
+        new = _cut(longer.join(known, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
+        exact = _cut(exact.join(after(exact), "b").select("a", F.col("c").alias("b")).distinct().join(new, ["a", "b"], "left_semi"))
         known = _cut(known.unionByName(new))
     return known
 
 
+def _along_paths(steps: DataFrame, rounds: int) -> DataFrame:
+    """Every path is walked back in doubling steps: a node learns the first node of its path and its own place; on a cycle, which
+    has no first node, the least one. Only nodes move, the pairs are formed as they are returned."""
+    nodes = steps.select(F.col("a").alias("v")).unionByName(steps.select(F.col("b").alias("v"))).distinct()
+    start = nodes.join(steps.select(F.col("b").alias("v"), F.col("a").alias("up")), "v", "left")
+    # up: the node ``far`` steps back, null where the path has begun; root: of all nodes from there on the first, or the least so far
+    state = _cut(start.select("v", "up", F.coalesce("up", "v").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("far"), F.least("v", "up").alias("least"), F.lit(True).alias("moved")))
+    before = -1
+    for _ in range(rounds):
+        left, moved = state.where("up is not null").agg(F.count(F.lit(1)), F.count_if("moved")).first()
+        if not left or (left == before and not moved):
+            break  # all paths have begun; or only cycles are left and their least nodes don't change
+        before = left
+        back = state.select(F.col("v").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("far").alias("_far"), F.col("least").alias("_least"))
+        going = state.where("up is not null").join(back, "up").select("v", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("far") + F.col("_far")).alias("far"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("moved"))
+        state = _cut(state.where("up is null").unionByName(going))
+    cycle = F.col("up").isNotNull()
+    parts = max(int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-state.count() // 10_000))
+    placed = state.select(F.when(cycle, F.col("least")).otherwise(F.col("root")).alias("path"), cycle.alias("cycle"), F.col("far"), F.col("v")).repartition(parts, "path")
+    ends = placed.select("path", F.col("far").alias("_far"), F.col("v").alias("b"))
+    later = F.when(F.col("cycle"), F.col("v") != F.col("b")).otherwise(F.col("far") < F.col("_far"))
+    return placed.join(ends.hint("merge"), "path").where(later).select(F.col("v").alias("a"), "b")
+
+
 def one_hop(edges: DataFrame) -> DataFrame:
     two = edges.join(edges.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).where("a <> b").distinct()
     return two.join(edges, ["a", "b"], "left_anti")

@@ -1,3 +1,6 @@
+import random
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -5,9 +8,15 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import ordered as O
 from loomgraph.operators import supervision as S
 from loomgraph.operators import candidates as C
+from loomgraph.sinks.workspace import shared_folder
 from loomgraph.sources import tables as R
 
 
+def written(spark):
+    """Bytes in the shared folder."""
+    return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
 def test_strip_and_segments(spark):
     row = spark.createDataFrame([('e:"A" .', "r: x ", "abcde；abcd\nabcde\n fghij ")], "s string, r string, t string")
     got = row.select(T.strip_entity(F.col("s")), T.strip_relation(F.col("r")), T.segments(F.col("t"))).first()
@@ -34,6 +43,35 @@ def test_closure_of_chain_and_cycle(spark):
     assert {tuple(r) for r in G.closure(edges).collect()} == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (7, 8), (8, 7)}
 
 
+def test_closure_of_paths_writes_nodes_only(spark):
+    """Paths and cycles of many lengths: right pairs, and what is written doesn't grow with their number."""
+    want, edges, at = set(), [], 0
+    for n in (1, 2, 3, 5, 8, 33, 400):
+        path = [at + (k * 7919) % n for k in range(n)]
+        want |= {(a, b) for k, a in enumerate(path) for b in path[k + 1 :]}
+        edges, at = edges + list(zip(path, path[1:], strict=False)), at + n
+    for n in (2, 3, 6, 64, 65):
+        ring = [at + (k * 7919) % n for k in range(n)]
+        want |= {(a, b) for a in ring for b in ring if a != b}
+        edges, at = edges + list(zip(ring, ring[1:] + ring[:1], strict=True)), at + n
+    before = written(spark)
+    got = [tuple(r) for r in G.closure(spark.createDataFrame(edges, "a int, b int")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert written(spark) - before < 1_000_000
+    assert G.closure(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_closure_of_branching_graphs(spark):
+    rng = random.Random(5)
+    for n, m in ((12, 14), (30, 33), (9, 40)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(100 + k, 101 + k) for k in range(9)] + [(100, 200)]
+        want = {(a, b) for a, b in edges if a != b}
+        while more := {(a, d) for a, b in want for c, d in want if b == c and a != d} - want:
+            want |= more
+        got = [tuple(r) for r in G.closure(spark.createDataFrame(edges, "a int, b int")).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_directions_and_tiers(spark):
     found = spark.createDataFrame([(1, 0, x, y, 0, 1) for x, y in (("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"))], "doc_id int, sid int, e1 string, e2 string, p1 int, p2 int")
     true = spark.createDataFrame([("a", "r", "b"), ("b", "q", "a"), ("c", "r", "b")], "e1 string, r string, e2 string")
