@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.supervision import numbered
 from loomgraph.sinks.workspace import new_path
+from loomgraph.sources.tables import small
 
 
 def carried(rows: DataFrame, order: list[str], last: dict[str, Column] | None = None, before: dict[str, Column] | None = None) -> DataFrame:
@@ -78,12 +79,36 @@ def mini_batches(rows: DataFrame, key: list[str], size: int = 64, seed: int | No
     return told.withColumns({"batch": F.expr(f"_n div {size}").cast("bigint"), "place": (F.col("_n") % size).cast("bigint")}).drop("_digest", "_n")
 
 
-def stratified_split(rows: DataFrame, by: str, key: str) -> DataFrame:
-    """70 / 10 / 20 of each class in the order of a digest of the key. Rows are numbered over all classes, each class after
-    those before it, so a class is spread over as many tasks as it fills."""
-    ordered = rows.withColumn("_digest", F.md5(F.col(key).cast("string")))
-    sizes = ordered.groupBy(F.col(by).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-    sizes = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_class")) - F.col("_size"))  # a row a class
-    told = numbered(ordered, [by, "_digest", key], "_n").join(sizes, F.col(by).eqNullSafe(F.col("_class")))
-    place, cut = F.col("_n") - F.col("_before") + 1, lambda share: F.floor(F.col("_size") * F.lit(share))
-    return told.select(*rows.columns, F.when(place <= cut(0.7), "train").when(place <= cut(0.8), "dev").otherwise("eval").alias("split"))
+#: Hexadecimal digits of a digest by which rows are counted before a split.
+_DIGITS = 3
+
+
+def stratified_split(rows: DataFrame, by: str, key: str | Column) -> DataFrame:
+    """70 / 10 / 20 of each class in the order of a digest of the key. Rows of each class are counted by the first digits of the
+    digest; only those whose digits both sides of a cut share are sorted, so ``rows`` are read again but never moved as a whole."""
+    key = F.col(key) if isinstance(key, str) else key
+    told = rows.withColumn("_digest", F.md5(key.cast("string"))).withColumn("_bucket", F.conv(F.substring("_digest", 1, _DIGITS), 16, 10).cast("int"))
+    told = told.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))  # a key that is null comes first
+    counts = _written(told.groupBy(F.col(by).alias("_class"), "_bucket").agg(F.count(F.lit(1)).alias("_n")), "split")
+    running = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket")))  # 16^3 + 1 rows a class
+    sizes = counts.groupBy("_class").agg(F.sum("_n").alias("_size"))
+    running = running.join(sizes, running["_class"].eqNullSafe(sizes["_class"])).select(running["_class"], "_bucket", "_n", "_upto", *(F.floor(F.col("_size") * F.lit(share)).alias(f"_cut{k}") for k, share in enumerate((0.7, 0.8))))
+    # for each cut the first bucket that reaches it, none if it is at 0; its rows are all on one side if the bucket ends there
+    held = lambda k: F.when(F.col(f"_cut{k}") > 0, F.min(F.when(F.col("_upto") >= F.col(f"_cut{k}"), F.struct("_bucket", (F.col("_upto") - F.col("_n")).alias("before"))))).alias(f"_at{k}")
+    cuts = small(running.groupBy("_class", "_cut0", "_cut1").agg(held(0), held(1)))
+    placed = told.join(cuts, F.col(by).eqNullSafe(F.col("_class")))
+    bucket, at = F.col("_bucket"), [F.coalesce(F.col(f"_at{k}._bucket"), F.lit(-2)) for k in (0, 1)]
+    shared = (bucket == at[0]) | (bucket == at[1])
+    clear = placed.where(~shared).select(*rows.columns, F.when(bucket < at[0], "train").when(bucket < at[1], "dev").otherwise("eval").alias("split"))
+    near = placed.where(shared).withColumns({"_key": key, "_lead": F.when(bucket == at[0], F.col("_at0.before")).otherwise(F.col("_at1.before"))})
+    ordered = numbered(near.drop("_at0", "_at1"), [by, "_digest", "_key"], "_k")
+    groups = ordered.groupBy("_class", "_bucket").agg(F.min("_k").alias("_first")).withColumnsRenamed({"_class": "_c", "_bucket": "_b"})
+    within = ordered.join(small(groups), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bucket") == F.col("_b")))
+    place = F.col("_lead") + F.col("_k") - F.col("_first") + 1
+    return clear.unionByName(within.select(*rows.columns, F.when(place <= F.col("_cut0"), "train").when(place <= F.col("_cut1"), "dev").otherwise("eval").alias("split")))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,23 @@
 """Folds over a total order against plain loops, over several ranges; label files; batches."""
 
+import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import ordered as O
+from loomgraph.operators import supervision as S
+from loomgraph.sinks.workspace import shared_folder
 from loomgraph.sources import tables as X
 
 
+def written(spark):
+    """Bytes in the shared folder."""
+    return sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
 def test_state_is_carried_over_ranges(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice([None, None, None, "a", "b"]), rng.choice([None, k])) for k in range(300)]
@@ -101,3 +110,33 @@ def test_readers_of_candidates_and_statements(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"text": "AB", "postag": [{"word": "AB", "pos": "n"}], "spo_list": []}\n{"text": "C", "postag": [], "spo_list": [{"predicate": "p", "subject": "s", "object": "o", "subject_type": "t", "object_type": "u"}]}\n')
     assert {(r.sentence, r.spo and r.spo.predicate) for r in X.statements(spark, str(tmp_path / "s.jsonl")).collect()} == {("ab", None), ("c", "p")}
     assert [r.content for r in X.long_items(spark, ["x" * 20, "y" * 21]).collect()] == ["y" * 21]
+
+
+def test_a_split_writes_only_rows_near_its_cuts(spark):
+    """Places in the order of the digests, by brute force, and few bytes written; keys that are equal or null are counted too."""
+    rows = [(k, "big" if k % 3 else None if k % 2 else f"c{k % 5}") for k in range(30_000)] + [(7, "same")] * 50 + [(None, "same")] * 3
+    df = spark.createDataFrame(rows, "k int, c string").repartition(4)
+    before = written(spark)
+    got = {}
+    for r in O.stratified_split(df, "c", "k").collect():
+        got.setdefault((r.c, r.k), []).append(r.split)
+    assert written(spark) - before < 300_000
+    for c in {c for _, c in rows}:
+        mine = sorted((k for k, x in rows if x == c), key=lambda k: "" if k is None else hashlib.md5(str(k).encode()).hexdigest())
+        for k in set(mine):
+            places = [n for n, x in enumerate(mine, 1) if x == k]
+            assert sorted(got[c, k]) == sorted("train" if n <= int(len(mine) * 0.7) else "dev" if n <= int(len(mine) * 0.8) else "eval" for n in places)
+
+
+def test_mentions_of_sentences_are_those_of_rows(spark):
+    sentences = spark.createDataFrame([(1, 0, "The Winter, snow of Hamburgo winter无 无 X"), (1, 1, "nothing here"), (2, 0, ""), (3, 0, "snow SNOW winter. Winterly ABCDEFG"), (4, 0, None)], "doc_id bigint, sid int, text string")
+    vocab = spark.createDataFrame([("winter", "true_entity"), ("snow", "candidate_entity"), ("无", "true_entity"), ("x", "nrx")], "name string, tag string")
+    rows = S.mentions(S.tagged(sentences, vocab)).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: r.position):
+        want.setdefault((r.doc_id, r.sid), []).append((r.position, r.name, r.tag))
+    for most in (None, 0):
+        known = X.small(vocab) if most is None else X.small(vocab, rows=most)
+        assert X.is_broadcast(known) == (most is None)
+        assert {(r.doc_id, r.sid): [tuple(m) for m in r.ms] for r in S.sentence_mentions(sentences, known).collect()} == want
+    assert len(want[3, 0]) == 4 and S.sentence_mentions(sentences, X.small(vocab.limit(0))).count() == 2
