@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,26 +50,52 @@ def family_rows(rows: DataFrame, order: list[str], family: Column, speaks: Colum
     return turned.select(*order, "family", F.explode(both).alias("e")).select(*order, "family", "e.part", F.trim("e.text").alias("text"))
 
 
+HEAD, TAIL = " head ", " tail "
+
+
+def _in_turn(tokens: list, ends: list[tuple]) -> tuple[list, list]:
+    """The places of each head and tail, and the tokens afterwards; one pass over the tokens, then a step for each end."""
+    wanted = {w for pair in ends for w in pair}
+    free: dict[str, list[int]] = {w: [] for w in wanted}  # of each end the places not yet taken, a heap
+    for i, w in enumerate(tokens):
+        if w in wanted:
+            free[w].append(i)
+    words, found = list(tokens), []
+    for pair in ends:
+        at = []
+        for end, mark in zip(pair, (HEAD, TAIL), strict=True):
+            i = None if end is None else heappop(free[end]) if free[end] else -1
+            if i is not None and i >= 0:
+                words[i] = mark
+                if mark in wanted:
+                    heappush(free[mark], i)
+            at.append(i)
+        found.append(at)
+    return words, found
+
+
 def masked_in_turn(rows: DataFrame, tokens: str, ends: str) -> DataFrame:
     """``rows`` with ``ends`` (an array of structs with head and tail) taken one after the other: ``found``, the ends with head_idx and
     tail_idx, the first places of both among the tokens, -1 where there is none, and ``masked``, the tokens after all of them. A
     token that has been an end is ``' head '`` or ``' tail '`` from then on, so no later end finds it again."""
     kind = rows.schema[ends].dataType.elementType
-    out = f"array<struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in kind)}, head_idx:bigint, tail_idx:bigint>>"
-
-    def put(words: Column, at: Column, mark: str) -> Column:
-        return F.transform(words, lambda x, i: F.when(i == at, F.lit(mark)).otherwise(x))
-
-    def step(state: Column, e: Column) -> Column:
-        # each stage goes through a struct of its own, so that it is computed once
-        head = F.struct((F.array_position(state["words"], e["head"]) - 1).alias("i"), state["words"].alias("words"))
-        one = F.transform(F.array(head), lambda h: F.struct(h["i"].alias("i"), put(h["words"], h["i"], " head ").alias("words")))
-        two = F.transform(one, lambda h: F.struct(h["i"].alias("i"), (F.array_position(h["words"], e["tail"]) - 1).alias("j"), h["words"].alias("words")))
-        made = lambda h: F.struct(*(e[f.name].alias(f.name) for f in kind), h["i"].cast("bigint").alias("head_idx"), h["j"].cast("bigint").alias("tail_idx"))
-        return F.transform(two, lambda h: F.struct(put(h["words"], h["j"], " tail ").alias("words"), F.concat(state["found"], F.array(made(h))).cast(out).alias("found")))[0]
 
-    start = F.struct(F.col(tokens).cast("array<string>").alias("words"), F.array().cast(out).alias("found"))
-    return rows.withColumn("_state", F.aggregate(ends, start, step)).withColumns({"found": F.col("_state.found"), "masked": F.col("_state.words")}).drop("_state")
+    @F.arrow_udf("struct<words:array<string>,head_idx:array<bigint>,tail_idx:array<bigint>>")
+    def run(words: pa.Array, heads: pa.Array, tails: pa.Array) -> pa.Array:
+        out: tuple[list, list, list] = ([], [], [])
+        for k in range(len(words)):  # a row at a time: a sentence may have very many ends
+            w, h, t = (c[k].as_py() for c in (words, heads, tails))
+            made = (None, None, None)
+            if w is not None and h is not None:
+                masked, found = _in_turn(w, list(zip(h, t, strict=True)))
+                made = (masked, [i for i, _ in found], [j for _, j in found])
+            for column, value in zip(out, made, strict=True):
+                column.append(value)
+        return pa.StructArray.from_arrays([pa.array(c, pa.list_(v)) for c, v in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["words", "head_idx", "tail_idx"])
+
+    made = rows.withColumn("_made", run(F.col(tokens).cast("array<string>"), F.col(ends)["head"], F.col(ends)["tail"]))
+    placed = F.transform(F.arrays_zip(F.col(ends).alias("e"), F.col("_made.head_idx").alias("i"), F.col("_made.tail_idx").alias("j")), lambda z: F.struct(*(z["e"][f.name].alias(f.name) for f in kind), z["i"].alias("head_idx"), z["j"].alias("tail_idx")))
+    return made.withColumns({"found": placed, "masked": F.col("_made.words")}).drop("_made")
 
 
 def mini_batches(rows: DataFrame, key: list[str], size: int = 64, seed: int | None = None) -> DataFrame:

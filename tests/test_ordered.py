@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from pathlib import Path
 
 import pytest
@@ -140,3 +141,24 @@ def test_mentions_of_sentences_are_those_of_rows(spark):
         assert X.is_broadcast(known) == (most is None)
         assert {(r.doc_id, r.sid): [tuple(m) for m in r.ms] for r in S.sentence_mentions(sentences, known).collect()} == want
     assert len(want[3, 0]) == 4 and S.sentence_mentions(sentences, X.small(vocab.limit(0))).count() == 2
+
+
+def test_masks_of_a_sentence_with_very_many_ends(spark):
+    """Grows with the words and the ends, not with their product; marks that are ends themselves are found again."""
+    rng = random.Random(2)
+    words = [rng.choice(["a", "b", "c", "d", " head "]) for _ in range(20_000)]
+    ends = [(rng.choice("abz"), rng.choice(["a", "c", " head ", " tail "])) for _ in range(6_000)]
+    left, found = list(words), []
+    for pair in ends:
+        at = []
+        for end, mark in zip(pair, (" head ", " tail "), strict=True):
+            at.append(left.index(end) if end in left else -1)
+            if at[-1] >= 0:
+                left[at[-1]] = mark
+        found.append((*pair, *at))
+    df = spark.createDataFrame([(words, ends), ([None, "a"], [(None, "a")])], "w array<string>, ends array<struct<head:string,tail:string>>")
+    began = time.time()
+    got = {len(r.w): r for r in O.masked_in_turn(df, "w", "ends").collect()}
+    assert time.time() - began < 20
+    assert [tuple(x) for x in got[20_000].found] == found and got[20_000].masked == left
+    assert [tuple(x) for x in got[2].found] == [(None, "a", None, 1)] and got[2].masked == [None, " tail "]
