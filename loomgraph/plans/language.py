@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import language as L
 from loomgraph.operators import supervision as S
 from loomgraph.plans.catalogue import PAIRS, SENT, TOKENS, VOCAB, query
-from loomgraph.sources.tables import table
+from loomgraph.sources.tables import small, table
 
 
 @query()
@@ -34,11 +34,13 @@ whole as (select doc_id, sid, [2] || flatten(list({_MARK.format(k=1, id=4)} || {
 select doc_id, sid::bigint sid, array_to_string((a || [0 for i in range(90)])[1:90], ',') ids, least(len(a), 90)::bigint n_mask, len(a)::bigint n, (coalesce(list_position(a[1:90], 4), 0) - 1)::bigint head_at, (coalesce(list_position(a[1:90], 5), 0) - 1)::bigint tail_at from whole""")
 def wordpiece_assembly(spark, d):
     """The first pair of mentions of each sentence, marked among its sentence's word pieces."""
-    vocab = S.vocabulary(table(spark, d, "benchmark"))
-    tokens = S.tagged(S.sentences(table(spark, d, "documents")), vocab)
-    first = S.pairs(S.mentions(tokens)).groupBy("doc_id", "sid").agg(F.min(F.struct("p1", "p2")).alias("f"))
-    mentions = first.select("doc_id", "sid", F.col("f.p1").alias("head_from"), (F.col("f.p1") + 1).alias("head_to"), F.col("f.p2").alias("tail_from"), (F.col("f.p2") + 1).alias("tail_to"))
-    made = L.marked_pieces(tokens, mentions, L.piece_vocabulary(vocab))
+    vocab = small(S.vocabulary(table(spark, d, "benchmark")))
+    told = S.sentence_mentions(S.sentences(table(spark, d, "documents")), vocab, words_too=True)
+    # the first pair: the first mention, and the first one after it of another name
+    other = F.get(F.filter("ms", lambda m: m["name"] != F.get("ms", F.lit(0))["name"]), F.lit(0))
+    first = told.select("doc_id", "sid", "words", F.get("ms", F.lit(0))["position"].alias("head_from"), other["position"].alias("tail_from")).where("tail_from is not null")
+    names = F.transform("words", lambda w: F.lower(w))
+    made = L.marked_sentences(first.select("doc_id", "sid", names.alias("names"), F.sequence(F.lit(0), F.size("words") - 1).alias("positions"), "head_from", (F.col("head_from") + 1).alias("head_to"), "tail_from", (F.col("tail_from") + 1).alias("tail_to")), L.piece_vocabulary(vocab))
     ones = F.aggregate("mask", F.lit(0), lambda n, x: n + x).cast("bigint")
     return made.select("doc_id", F.col("sid").cast("bigint").alias("sid"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), ones.alias("n_mask"), "n", "head_at", "tail_at")
 

@@ -122,3 +122,11 @@ def test_pieces_and_markers(spark, masked):
         assert [back[k] for k in got[d].ids] == want and sum(got[d].mask) == ones and got[d].mask == [1] * ones + [0] * (20 - ones) and got[d].n == n
         marks = ("[unused4]", "[unused5]") if masked else ("[unused0]", "[unused1]")
         assert [got[d].head_at, got[d].tail_at] == [want.index(m) if m in want else -1 for m in marks]
+
+
+def test_word_pieces_of_sentences_are_not_shuffled(spark):
+    """The tokens stay in their sentence, so no exchange holds them."""
+    from loomgraph.plans.language import wordpiece_assembly
+
+    plan = wordpiece_assembly(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
