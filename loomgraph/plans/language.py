@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from loomgraph.operators import language as L
 from loomgraph.operators import supervision as S
 from loomgraph.plans.catalogue import PAIRS, SENT, TOKENS, VOCAB, query
-from loomgraph.sources.tables import small, table
+from loomgraph.sources.tables import dealt, small, table
 
 
 @query()
 def lattice_segmentation(spark, d):
     """Sentences whose spaces are taken out, cut again by a lattice over the words and tags of the table's own tokens."""
-    sentences = S.sentences(table(spark, d, "documents"))
-    model = L.learn_segmenter(S.tagged(sentences, S.vocabulary(table(spark, d, "benchmark"))))
+    sentences = S.sentences(dealt(table(spark, d, "documents")))
+    model = L.learn_from_sentences(sentences, S.vocabulary(table(spark, d, "benchmark")))
     return L.segment(L.tokens_without_spaces(sentences), model)
 
 
