@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import language as L
 from loomgraph.operators import supervision as S
 from loomgraph.plans.catalogue import PAIRS, SENT, TOKENS, VOCAB, query
-from loomgraph.sources.tables import dealt, small, table
+from loomgraph.sources.tables import dealt, is_broadcast, small, table
 
 
 @query()
@@ -35,7 +35,11 @@ select doc_id, sid::bigint sid, array_to_string((a || [0 for i in range(90)])[1:
 def wordpiece_assembly(spark, d):
     """The first pair of mentions of each sentence, marked among its sentence's word pieces."""
     vocab = small(S.vocabulary(table(spark, d, "benchmark")))
-    told = S.sentence_mentions(S.sentences(table(spark, d, "documents")), vocab, words_too=True)
+    sentences = S.sentences(dealt(table(spark, d, "documents"), least=1000))
+    if is_broadcast(vocab):
+        made = L.first_pairs(sentences, vocab, L.piece_vocabulary(vocab))
+        return made.select("doc_id", F.col("sid").cast("bigint").alias("sid"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n_mask", "n", "head_at", "tail_at")
+    told = S.sentence_mentions(sentences, vocab, words_too=True)
     # the first pair: the first mention, and the first one after it of another name
     other = F.get(F.filter("ms", lambda m: m["name"] != F.get("ms", F.lit(0))["name"]), F.lit(0))
     first = told.select("doc_id", "sid", "words", F.get("ms", F.lit(0))["position"].alias("head_from"), other["position"].alias("tail_from")).where("tail_from is not null")

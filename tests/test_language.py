@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,40 @@ def test_word_pieces_of_sentences_are_not_shuffled(spark):
 
     plan = wordpiece_assembly(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_first_pairs_are_those_of_marked_sentences(spark, monkeypatch, block):
+    """Put together by arrays for many sentences at once: cut-off markers, unknown words, capitals, a name repeated before the other,
+    sentences without a pair, empty and null texts; blocks of one or two sentences, too."""
+    monkeypatch.setattr(L, "PASSED", block)
+    rng = random.Random(11)
+    names = ["winter", "winner", "inter", "schön", "snowfall"]
+    vocab = spark.createDataFrame([(n, "true_entity" if k % 2 else "candidate_entity") for k, n in enumerate(names)], "name string, tag string")
+    pool = [*names, "WINTER", "SCHÖN", "Winters", "Kingdom", "kingdom", "wintersnow", "zq", "w" * 101, "über", "[unk]", "无", "win.ter", "Kingdom\u2028", "Kingdoms\x85x"]
+    texts = ["", None, "winter", "winter winter WINTER", "winter winter winner", *(" ".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(150))]
+    df = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, sid int, text string").repartition(3)
+    pieces = L.piece_vocabulary(vocab, 2)
+    got = {r.doc_id: (r.ids, r.n_mask, r.n, r.head_at, r.tail_at) for r in L.first_pairs(df, vocab, pieces, 12).collect()}
+    ids = {r.piece: r.id for r in pieces.collect()}
+    longest, back = max(map(len, ids)), {r.id: r.piece for r in pieces.collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        words = [w for w in re.split("[ \t\n\v\f\r.,]+", t or "") if w]
+        at = [i for i, w in enumerate(words) if w.lower() in names or S.is_person(w)]
+        tail = next((i for i in at if words[i].lower() != words[at[0]].lower()), None)
+        if tail is not None:
+            made, ones, n = plain_marked(words, (at[0], at[0] + 1), (tail, tail + 1), lambda w: [back[i] for i in L.pieces_of(w.lower(), ids, longest)], 12, False)
+            want[k] = ([ids[p] for p in made], ones, n, *(made.index(m) if m in made else -1 for m in ("[unused0]", "[unused1]")))
+    assert got == want and len(want) > 50 and any(w[4] == -1 for w in want.values())
+
+
+def test_lower_case_is_the_same_in_tasks(spark):
+    """Python's lower case of a word is Spark's, for every character that both Unicode tables have, alone and within a word."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    marks = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = spark.createDataFrame([(f"{a}{c}{b}",) for c in marks for a, b in (("", ""), ("A", "B"), ("A", ""))], "w string")
+    assert [r.w for r in rows.select("w", F.lower("w").alias("low")).collect() if r.w.lower() != r.low] == []
